@@ -124,7 +124,7 @@ def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 8, hashes: int = 1, probes: int = 8, seed: int = 5) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 8, hashes: int = 1, probes: int = 16, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score; ``is_query`` is a condition on ``vec_id``."""
     spark = rows.sparkSession
     rows = cut(usable(rows))

@@ -1,4 +1,4 @@
-"""Prediction by partial matching over bytes: a context trie in flat arrays, escape method C, symbol exclusion.
+"""Prediction by partial matching over bytes: a context trie in flat arrays, escape method D, symbol exclusion.
 
 The coded stream of a document is its lower-cased words joined by one space and one end byte (a line feed, which no
 word holds), so code lengths are log10 probabilities of token sequences. Contexts run over the last ``ORDER`` bytes;
@@ -71,9 +71,9 @@ class Trie:
             kind = np.bincount(owner, minlength=len(context)).astype(np.float64)
             self.edges.append(Lookup(keys | _TAG[k]))
             self.nodes.append(Lookup(context | _TAG[k]))
-            self.log_count.append(np.log10(n))
-            self.start.append(np.log10(total + kind))
-            self.escape.append(np.log10(kind) - np.log10(total + kind))
+            self.log_count.append(np.log10(n - 0.5))
+            self.start.append(np.log10(total))
+            self.escape.append(np.log10(kind / 2) - self.start[-1])
             self.direct.append(self.log_count[-1] - self.start[-1][owner])
             totals.append(total)
             kinds.append(kind)
@@ -85,15 +85,15 @@ class Trie:
                 more = np.maximum(kinds[k - 1][under] - np.bincount(owner, (below >= 0).astype(float), len(context)), 0.0)
                 self._exits(left, more)
             else:
-                self._exits(256 - kind, np.zeros(len(context)))
+                self.next_start.append(np.log10(np.maximum(256 - kind, 1)))
+                self.next_escape.append(np.zeros(len(context)))
             counts_below = n
 
     def _exits(self, left: np.ndarray, more: np.ndarray) -> None:
-        """Where nothing is left but excluded symbols the escape is certain."""
-        with np.errstate(divide="ignore"):
-            start = np.where(left + more > 0, np.log10(left + more), 0.0)
-            self.next_start.append(start)
-            self.next_escape.append(np.where(more > 0, np.log10(np.maximum(more, 1e-300)) - start, 0.0))
+        """``left``: the counts and ``more``: the number of symbols that are not excluded; if none the escape is certain."""
+        start = np.log10(np.where(more > 0, left, 1.0))
+        self.next_start.append(start)
+        self.next_escape.append(np.where(more > 0, np.log10(np.where(more > 0, more, 1.0) / 2) - start, 0.0))
 
     def code(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each position's byte after its context."""
@@ -134,7 +134,7 @@ class Adaptive:
         self.order, self.seen = order, {}
 
     def probability(self, context: bytes, symbol: int) -> float:
-        """log10, under method C with exclusion of the symbols of longer contexts."""
+        """log10, under method D with exclusion of the symbols of longer contexts."""
         excluded: set[int] = set()
         total = 0.0
         for k in range(min(self.order, len(context)), -1, -1):
@@ -142,11 +142,11 @@ class Adaptive:
             if not after:
                 continue
             open_ = {s: n for s, n in after.items() if s not in excluded}
-            all_ = sum(open_.values()) + len(open_)
+            all_ = sum(open_.values())
             if symbol in open_:
-                return total + math.log10(open_[symbol] / all_)
+                return total + math.log10((open_[symbol] - 0.5) / all_)
             if open_:
-                total += math.log10(len(open_) / all_)
+                total += math.log10(len(open_) / 2 / all_)
             excluded |= after.keys()
         return total - math.log10(256 - len(excluded))
 
