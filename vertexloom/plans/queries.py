@@ -403,7 +403,7 @@ def bfs_distance(s, d):
     return paths.shortest_distance(g, _first(g))
 
 
-_ALL = SPARSE + ", d(root, id, dist) as (select id, id, 0 from v union select d.root, b.dst, d.dist + 1 from d join b on b.src = d.id where d.dist < 14), dd as (select root, id, min(dist)::double as dist from d group by 1, 2)"
+_ALL = SPARSE + ", d(root, id, dist) as (select id, id, 0 from v union select d.root, b.dst, d.dist + 1 from d join b on b.src = d.id where d.dist < 40), dd as (select root, id, min(dist)::double as dist from d group by 1, 2)"
 
 
 @query("with recursive " + _ALL + " select root, id, dist from dd")
