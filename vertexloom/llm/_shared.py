@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words: everything between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents are decoded in slices of so many rows and about so many bytes, whatever the Arrow batch.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -37,9 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: lost executors cost a reread, and no branch computes ``df`` twice."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint()
-    release(df.sparkSession)
+    del df  # its plan holds the shuffles
+    release(spark)
     return out
 
 
@@ -48,8 +50,10 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    schema = df.schema
+    del df
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -11,6 +11,9 @@ A document's reference blocks are its words cut every ``block`` words; a window
    so that neighbouring windows make up the maximal repeats, and no pairs of documents are formed;
 3. each document drops the words under its windows that an earlier document has.
 
+Whole copies are known by 128 bits of their texts: they are dropped by that alone (if they hold a window) and spare
+stage 2 their windows, as the first copy stands for them.
+
 Texts are read in place for 1 and joined by document for 2 (documents with hits) and 3. Counts are pre-summed by task;
 a passage that many documents share costs a row for each of its windows in each.
 
@@ -24,33 +27,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm._shared import LAST_ID, arrow_map, cut, fresh, mixed, slices, written
 
-WINDOW, BLOCK = 50, 4
+WINDOW, BLOCK = 50, 5
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _SALT = np.uint64(0x5851F42D4C957F2D)
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \t\n\x0b\x0c\r")] = True
 
 
 class Words:
-    """64-bit hashes of words; keeps those it has met, up to a bound."""
+    """64-bit hashes of all words of some texts, without taking the words apart: by prefix sums over the bytes."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        out = [known.get(w) for w in words]
-        for k, h in enumerate(out):
-            if h is None:
-                w = words[k]
-                out[k] = known[w] = xxhash.xxh64_intdigest(w)
-        return np.array(out, np.uint64)
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and the text of each."""
+        buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        if len(buffer) > len(self.up):
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(buffer), x)])) for x in (_BASES[0], np.uint64(pow(int(_BASES[0]), -1, 1 << 64))))
+        word = ~_WHITE[buffer]
+        edge = np.diff(np.concatenate([[False], word]).view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((buffer + np.uint64(1)) * self.up[: len(buffer)])])
+        hashes = mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return hashes, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
 
 
 def rolling(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
@@ -69,16 +74,23 @@ def rolling(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return mixed((sums[width:] - sums[:n]) * np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back)])))
 
 
-def chosen(blocks: np.ndarray, block: int, reach: int) -> np.ndarray:
-    """The rolling blocks that are least, the first of equals, among some ``reach`` neighbours on their grid."""
+def chosen(blocks: np.ndarray, text: np.ndarray, block: int, reach: int) -> np.ndarray:
+    """The rolling blocks that are least, the first of equals, among some ``reach`` neighbours on their grid.
+
+    ``text`` is the text of each word; neighbours lie in one text, and so do their words.
+    """
+    n = len(blocks) - (reach - 1) * block
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least, at, span = blocks, np.arange(len(blocks)), 1
+    while span < reach:
+        step = min(span, reach - span)
+        later, later_at = least[step * block :], at[step * block :]
+        less = later < least[: len(later)]
+        least, at = np.where(less, later, least[: len(later)]), np.where(less, later_at, at[: len(later)])
+        span += step
     keep = np.zeros(len(blocks), bool)
-    for r in range(block):
-        grid = blocks[r::block]
-        if len(grid) < reach:
-            keep[r::block] = True
-            continue
-        at = np.lib.stride_tricks.sliding_window_view(grid, reach).argmin(1) + np.arange(len(grid) - reach + 1)
-        keep[r + block * np.unique(at)] = True
+    keep[at[:n][text[:n] == text[reach * block - 1 : reach * block - 1 + n]]] = True
     return np.flatnonzero(keep)
 
 
@@ -88,7 +100,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """_doc, _digest and spans (starts of the windows that an earlier document has) of the documents that have such."""
+    """_doc, _digest, spans and whole of the documents that repeat an earlier one: starts of the windows that it has, or
+    that all of the document is a copy (then without spans)."""
     reach = (window - block + 1) // block
     if reach < 1:
         raise ValueError("window must hold a whole block wherever it starts")
@@ -98,32 +111,32 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
         hashes = Words()
         for batch, texts in slices(batches):
             ids, digests = (batch.column(k).to_numpy() for k in (0, 1))
-            keys, places, rows = [], [], []
-            for k, text in enumerate(texts):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                blocks = rolling(hashes(words), block, _BASES[0])
-                at = chosen(blocks, block, reach)
-                keys.append(blocks[at])
-                places.append(at)
-                rows.append(np.full(len(at), k))
-            if keys:
-                rows = np.concatenate(rows)
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[rows]), pa.array(digests[rows]), pa.array(np.concatenate(places).astype(np.int32))], ["key", "_doc", "_digest", "place"])
+            words, rows = hashes(texts)
+            blocks = rolling(words, block, _BASES[0])
+            at = chosen(blocks, rows, block, reach)
+            at = at[np.bincount(rows, minlength=len(texts))[rows[at]] >= window]
+            row = rows[at]
+            place = at - np.searchsorted(rows, row)
+            yield pa.record_batch([pa.array(blocks[at].view(np.int64)), pa.array(ids[row]), pa.array(digests[row]), pa.array(place.astype(np.int32))], ["key", "_doc", "_digest", "place"])
 
     probes = arrow_map(keyed, anchors, "key long, _doc long, _digest long, place int")
     owned = F.col("place") % block == 0
     live = cut(probes.groupBy("key").agg(F.min(F.when(owned, F.col("_doc"))).alias("first"), F.max("_doc").alias("last")).where("first < last"))
     hits = probes.join(live, "key").where((F.col("_doc") > F.col("first")) | (owned & (F.col("_doc") < F.col("last"))))
     marks = cut(hits.groupBy("_doc", "_digest").agg(F.collect_set("place").alias("places")))
+    texts = keyed.where("text is not null").select("_doc", "_digest", F.xxhash64("text", F.lit(1)).alias("more"))
+    firsts = cut(texts.groupBy("_digest", "more").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last").drop("last"))
+    copies = cut(texts.join(firsts, ["_digest", "more"]).where("_doc > first").select("_doc", "_digest").distinct())
+    marks = marks.join(copies, ["_doc", "_digest"], "left_anti")
 
     def extended(batches):
         hashes = Words()
         for batch, texts in slices(batches):
             parts = []
-            for k, (text, places) in enumerate(zip(texts, batch.column(3).to_pylist(), strict=True)):
-                words = hashes(text.split())
+            all_words, rows = hashes(texts)
+            edges = np.searchsorted(rows, np.arange(len(texts) + 1))
+            for k, places in enumerate(batch.column(3).to_pylist()):
+                words = all_words[edges[k] : edges[k + 1]]
                 n = len(words) - window + 1
                 edge = np.zeros(n + 1, np.int64)
                 places = np.array(places)
@@ -137,10 +150,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
 
     windows = written(arrow_map(keyed.join(marks, ["_doc", "_digest"]).select("_doc", "_digest", "text", "places"), extended, "a long, b long, _doc long, _digest long, place int"))
     first = cut(windows.groupBy("a", "b").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last").drop("last"))
-    return cut(windows.join(first, ["a", "b"]).where("_doc > first").groupBy("_doc", "_digest").agg(F.collect_set("place").alias("spans")))
+    spans = windows.join(first, ["a", "b"]).where("_doc > first").groupBy("_doc", "_digest").agg(F.collect_set("place").alias("spans"))
+    none = F.lit(None).cast("array<int>")
+    return cut(spans.withColumn("whole", F.lit(False)).unionByName(copies.select("_doc", "_digest", none.alias("spans"), F.lit(True).alias("whole"))))
 
 
-def kept_words(words: list[bytes], spans: list[int] | None, window: int) -> list[bytes]:
+def kept_words(words: list[bytes], spans: list[int] | None, whole: bool | None, window: int) -> list[bytes]:
+    if whole:
+        return [] if len(words) >= window else words
     if not spans:
         return words
     edge = np.zeros(len(words) + 1, np.int64)
@@ -155,11 +172,11 @@ def digests(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     def made(batches):
         for batch, texts in slices(batches):
             words = [t.split() for t in texts]
-            kept = [kept_words(w, s, window) for w, s in zip(words, batch.column(2).to_pylist(), strict=True)]
+            kept = [kept_words(w, s, all_, window) for w, s, all_ in zip(words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    rows = _keyed(docs).join(repeats(docs, window, block), ["_doc", "_digest"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    rows = _keyed(docs).join(repeats(docs, window, block), ["_doc", "_digest"], "left").select(F.col("doc_id").cast("long"), "text", "spans", "whole")
     return arrow_map(rows, made, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -169,16 +186,17 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
 
     def made(batches):
         for batch, texts in slices(batches):
-            spans = batch.column(len(columns)).to_pylist()
+            spans, wholes = (batch.column(len(columns) + k).to_pylist() for k in (0, 1))
             at = batch.schema.get_field_index("text")
             old = batch.column(at)
-            if any(spans):
-                new = [b" ".join(kept_words(t.split(), s, window)).decode() if s else o for t, s, o in zip(texts, spans, old.to_pylist(), strict=True)]
+            if any(spans) or any(wholes):
+                kept = [kept_words(t.split(), s, w, window) if s or w else None for t, s, w in zip(texts, spans, wholes, strict=True)]
+                new = [o if k is None or w and k else b" ".join(k).decode() for k, w, o in zip(kept, wholes, old.to_pylist(), strict=True)]
                 old = pa.array(new, old.type)
             yield pa.record_batch([old if k == at else batch.column(k) for k in range(len(columns))], columns)
 
-    doc, digest, found = fresh(columns, "doc", "digest", "spans")
-    spans = repeats(docs, window, block).toDF(doc, digest, found)
+    doc, digest, found, all_ = fresh(columns, "doc", "digest", "spans", "whole")
+    spans = repeats(docs, window, block).toDF(doc, digest, found, all_)
     named = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(digest, F.xxhash64("text"))
-    rows = named.join(spans, [doc, digest], "left").select(*columns, found)
+    rows = named.join(spans, [doc, digest], "left").select(*columns, found, all_)
     return arrow_map(rows, made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
