@@ -6,7 +6,8 @@ A document's reference blocks are its words cut every ``block`` words; a window
 1. of the rolling blocks on each of the ``block`` grids a task keeps the least hashed among ``reach`` neighbours.
    Reference blocks are grid 0, chosen by the same rule, so a shared window always has a chosen reference block that a
    chosen rolling block meets; the others can't be needed;
-2. a block lives if some document owns it and a later one has it. Hits are the places of live blocks, and all windows
+2. a block lives if some document owns it and a later one has it. A window over it holds half of its other words on
+   one side of the block at least, so a hit, a place of a live block, must have that half in common too. All windows
    over a hit are extended word by word: their 128-bit hashes meet in one aggregate with the first document of each,
    so that neighbouring windows make up the maximal repeats, and no pairs of documents are formed;
 3. each document drops the words under its windows that an earlier document has.
@@ -94,6 +95,20 @@ def chosen(blocks: np.ndarray, text: np.ndarray, block: int, reach: int) -> np.n
     return np.flatnonzero(keep)
 
 
+def sides(words: np.ndarray, text: np.ndarray, at: np.ndarray, block: int, half: int) -> list[pa.Array]:
+    """Hashes of the ``half`` words before and after each block at ``at``; null where its text has fewer there."""
+    if not half:
+        return [pa.array(np.zeros(len(at), np.int32))] * 2
+    runs = (rolling(words, half, _BASES[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    out = []
+    for start in (at - half, at + block):
+        inside = (start >= 0) & (start < len(runs))
+        start = np.where(inside, start, 0)
+        inside &= (text[start] == text[at]) & (text[np.minimum(start + half, len(text)) - 1] == text[at])
+        out.append(pa.array(runs[start] if len(runs) else np.zeros(len(at), np.int32), mask=~inside))
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc (the id, null last) and digest (of the text) name a row; rows that share both are equal in all that counts here."""
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("_digest", F.xxhash64("text"))
@@ -102,7 +117,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """_doc, _digest, spans and whole of the documents that repeat an earlier one: starts of the windows that it has, or
     that all of the document is a copy (then without spans)."""
-    reach = (window - block + 1) // block
+    reach, half = (window - block + 1) // block, (window - block) // 2
     if reach < 1:
         raise ValueError("window must hold a whole block wherever it starts")
     keyed = _keyed(docs.select("doc_id", "text")).select("_doc", "_digest", "text")
@@ -117,12 +132,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
             at = at[np.bincount(rows, minlength=len(texts))[rows[at]] >= window]
             row = rows[at]
             place = at - np.searchsorted(rows, row)
-            yield pa.record_batch([pa.array(blocks[at].view(np.int64)), pa.array(ids[row]), pa.array(digests[row]), pa.array(place.astype(np.int32))], ["key", "_doc", "_digest", "place"])
+            yield pa.record_batch([pa.array(blocks[at].view(np.int64)), pa.array(ids[row]), pa.array(digests[row]), pa.array(place.astype(np.int32)), *sides(words, rows, at, block, half)], ["key", "_doc", "_digest", "place", "left", "right"])
+
+    def living(rows, *keys):
+        return cut(rows.groupBy(*keys).agg(F.min(F.when(owned, F.col("_doc"))).alias("first"), F.max("_doc").alias("last")).where("first < last"))
 
-    probes = arrow_map(keyed, anchors, "key long, _doc long, _digest long, place int")
+    probes = arrow_map(keyed, anchors, "key long, _doc long, _digest long, place int, left int, right int")
     owned = F.col("place") % block == 0
-    live = cut(probes.groupBy("key").agg(F.min(F.when(owned, F.col("_doc"))).alias("first"), F.max("_doc").alias("last")).where("first < last"))
-    hits = probes.join(live, "key").where((F.col("_doc") > F.col("first")) | (owned & (F.col("_doc") < F.col("last"))))
+    shared = (F.col("_doc") > F.col("first")) | (owned & (F.col("_doc") < F.col("last")))
+    hits = written(probes.join(living(probes, "key"), "key").where(shared).drop("first", "last"))
+    hits = hits.select("key", "_doc", "_digest", "place", F.posexplode(F.array("left", "right")).alias("side", "half")).where("half is not null")
+    hits = hits.join(living(hits, "key", "side", "half"), ["key", "side", "half"]).where(shared)
     marks = cut(hits.groupBy("_doc", "_digest").agg(F.collect_set("place").alias("places")))
     texts = keyed.where("text is not null").select("_doc", "_digest", F.xxhash64("text", F.lit(1)).alias("more"))
     firsts = cut(texts.groupBy("_digest", "more").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last").drop("last"))
