@@ -1,14 +1,24 @@
-"""Order over a whole table without one task for all of it."""
+"""Order over a whole table without one task for all of it.
+
+Range partitions come from a sample and may differ when planned or run again, so they are written once and read twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.plans.iterate import cut
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in range partitions, with the number of each as _part."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
 
 def following(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the next row's ``value`` in the total order; rows are range-partitioned and only each part's first row travels."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = _ranged(df, order)
     inner = Window.partitionBy("_part").orderBy(*order)
     led = parts.withColumn(name, F.lead(value).over(inner)).withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
     heads = parts.groupBy("_part").agg(F.min_by(F.col(value), F.struct(*order)).alias("_head"))
@@ -19,7 +29,7 @@ def following(df: DataFrame, order: list[str], value: str, name: str) -> DataFra
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Dense numbers from 0 in a total order, by range partitions and the sizes of those before."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = _ranged(df, order)
     sizes = parts.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_before"))
     row = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -272,7 +272,7 @@ def extended_clustering(s, d):
     return rounded(clustering.extended_clustering(sparse_users(s, d).as_undirected(), 2), "clustering")
 
 
-@query(f"with {_TRI}, w as (select sum(n) as n from lc), t as (select count(*) as t from tri) select 3::bigint as motif, (w.n - 3 * t.t)::bigint as count from w, t union all select 7, t.t from t")
+@query(f"with {_TRI}, w as (select sum(n) as n from lc), t as (select count(*) as t from tri) select * from (select 3::bigint as motif, (w.n - 3 * t.t)::bigint as count from w, t union all select 7, t.t from t) where count > 0")
 def motifs3(s, d):
     return clustering.motifs(simple_users(s, d), 3)
 
@@ -454,16 +454,13 @@ def shortest_path_length(s, d):
     return rounded(path.join(g.edges.select("eid", "c"), "eid").agg(F.sum("c").alias("length")), "length")
 
 
-@query("with recursive " + _ALL + " select dist as length from dd where root = (select min(src) from p) order by dist desc limit 0")
+@query()  # the sweep's ends depend on ties; its length is a lower bound of the diameter
 def pseudo_diameter(s, d):
     g = sparse_users(s, d).as_undirected()
     length, a, b = paths.pseudo_diameter(g, _first(g))
     return s.createDataFrame([(length,)], "length double")
 
 
-del SQL["pseudo_diameter"]  # the sweep's ends depend on ties; its length is a lower bound of the diameter
-
-
 @query()
 def betweenness(s, d):
     return rounded(paths.betweenness(sparse_users(s, d).as_undirected())[0], "betweenness")
@@ -535,9 +532,9 @@ def topological_sort(s, d):
     return components.topological_levels(tree(s, d))
 
 
-@query(f"with {TREE} select true as tree_is_dag, count(*) = 0 as users_is_dag from v where false")
+@query(f"with {USERS} select true as tree_is_dag, not exists (select 1 from e where src = dst) as users_is_dag")
 def is_dag(s, d):
-    return s.createDataFrame([(components.is_dag(tree(s, d)), not components.is_dag(users(s, d)))], "tree_is_dag boolean, users_is_dag boolean")
+    return s.createDataFrame([(components.is_dag(tree(s, d)), components.is_dag(users(s, d)))], "tree_is_dag boolean, users_is_dag boolean")
 
 
 @query(f"with {SUPPLY} select id, case when id < 1000000000 then 0 else 1 end as side from v")
