@@ -223,6 +223,59 @@ def test_formats(spark, tmp_path, people):
     assert g.directed and g.num_edges() == 2 and g.edges.where("w = 2").count() == 2
 
 
+def test_block_rewiring(spark, people):
+    g = make(spark, [(s, t) for s, t, _ in EDGES], 10)
+    odd = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "r long, s long, p double")
+    drawn = transform.random_rewire(g, "blockmodel-traditional", block="block", seed=4, probability=odd)
+    assert drawn.edges.count() == 17 and drawn.edges.where("src % 2 <> dst % 2").isEmpty()
+    swapped = transform.random_rewire(g, "probabilistic", 2, block="block", seed=1, probability=odd)
+    assert column(degree.degree(swapped, "out"), "degree") == column(degree.degree(g, "out"), "degree")
+    assert swapped.edges.where("src % 2 = dst % 2").count() >= g.edges.where("src % 2 = dst % 2").count()
+
+
+def test_coarse_graphs(spark, people):
+    for method in ("matching", "independent"):
+        small, blocks = transform.coarse(people, method)
+        assert small.num_vertices() < 10 and blocks.count() == 10
+        assert small.vertices.agg(F.sum("count")).first()[0] == 10
+    stack = transform.coarse_stack(people, least=2)
+    assert stack[-1][0].num_vertices() <= 2
+
+
+def test_motif_samples(spark, people):
+    whole = clustering.motif_sets(people, 3)
+    assert clustering.motif_sets(people, 3, 0.5).exceptAll(whole).isEmpty()
+    z = clustering.motif_significance(make(spark, EDGES, 10), 3, 2)
+    assert z.where("count < 0 or isnan(z)").isEmpty() and z.agg(F.sum("count")).first()[0] == whole.count()
+
+
+def test_nested_blocks(spark, people):
+    levels = [{v: v % 4 for v in range(10)}, {b: b % 2 for b in range(4)}, {0: 0, 1: 0}]
+    assert community.project_level(levels, 1) == {v: v % 4 % 2 for v in range(10)}
+    parts = community.nested_entropy(people, levels)
+    assert len(parts) == 3 and all(math.isfinite(x) for x in parts)
+    assert parts[2] == pytest.approx(lbinom(3 + 17 - 1, 17) + partition_entropy([2]))
+
+
+def test_more_searches(people):
+    g = Local.of(people, properties=("weight",))
+    done, dist, pred = kernels.bellman_ford_search(g, 0, "weight")
+    assert done and dist[5] == pytest.approx(12.23513866) and pred[5] == 1
+    length, path = kernels.astar_implicit((0, 0), (3, 2), lambda p: [((p[0] + 1, p[1]), 1.0), ((p[0], p[1] + 1), 1.0)] if p[0] < 4 and p[1] < 4 else [], lambda p: abs(3 - p[0]) + abs(2 - p[1]))
+    assert length == 5 and path[0] == (0, 0) and path[-1] == (3, 2)
+
+
+def test_numbers_of_large_tables(spark):
+    from vertexloom.functions.ordering import following, numbered
+
+    df = spark.range(50_000).select(F.xxhash64("id").alias("k"))
+    n = numbered(df, ["k"])
+    assert n.agg(F.max("n"), F.count_distinct("n")).first() == (49_999, 50_000)
+    led = following(df, ["k"], "k", "after").join(n, "k")
+    assert led.where("after is null").count() == 1
+    assert led.join(n.select(F.col("k").alias("after"), F.col("n").alias("m")), "after").where("m = n + 1").count() == 49_999
+
+
 def test_edge_lists(spark):
     g = formats.from_edge_list(spark, [(0, 1), (1, 2)])
     more = formats.add_edge_list(g, spark.createDataFrame([(2, 7)], "src long, dst long"))
@@ -231,7 +284,7 @@ def test_edge_lists(spark):
 
 
 def test_layouts(people):
-    for df in (layout.random_layout(people), layout.radial_layout(people, 0), layout.force_layout(people, 3)):
+    for df in (layout.random_layout(people), layout.radial_layout(people, 0), layout.force_layout(people, 2), layout.arf_layout(people, 2), layout.multilevel_layout(people, 1, least=4)):
         assert df.count() == 10 and df.where("x is null or isnan(y)").isEmpty()
 
 

@@ -384,3 +384,27 @@ def hierarchy_tree(spark, levels: list[dict[int, int]]) -> Graph:
         rows += [(off + size + b, off + v) for v, b in sorted(level.items())]
         off += size
     return Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+
+
+def nested_stack(g: Graph, levels: list[dict[int, int]], deg_corr: bool = True) -> list[BlockState]:
+    """The state of each level: its graph is the multigraph of the blocks below, an edge for each of ``g``."""
+    spark, out = g.edges.sparkSession, []
+    for level, blocks in enumerate(levels):
+        rows = spark.createDataFrame(sorted(blocks.items()), "id long, block long")
+        out.append(BlockState(g, rows, deg_corr and not level))
+        e = g.edges.join(rows.toDF("src", "bs"), "src").join(rows.toDF("dst", "bd"), "dst")
+        g = Graph(rows.select(F.col("block").alias("id")).distinct(), e.select("eid", F.col("bs").alias("src"), F.col("bd").alias("dst")), g.directed)
+    return out
+
+
+def nested_entropy(g: Graph, levels: list[dict[int, int]], deg_corr: bool = True) -> list[float]:
+    """What each level adds to the description length; upper ones in the dense multigraph form."""
+    return [s.entropy(dense=n > 0, multigraph=True, dl=True, edges_dl=False) for n, s in enumerate(nested_stack(g, levels, deg_corr))]
+
+
+def project_level(levels: list[dict[int, int]], level: int) -> dict[int, int]:
+    """Vertices to their blocks at a level."""
+    out = dict(levels[0])
+    for up in levels[1 : level + 1]:
+        out = {v: up[b] for v, b in out.items()}
+    return out

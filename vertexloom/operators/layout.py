@@ -1,4 +1,4 @@
-"""Vertex positions: random, radial and force-directed, as (id, x, y)."""
+"""Vertex positions: random, radial, force-directed (also from coarse graphs up) and attractive-repulsive, as (id, x, y)."""
 
 from __future__ import annotations
 
@@ -30,12 +30,12 @@ def radial_layout(g: Graph, root: int) -> DataFrame:
     return d.select("id", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
 
 
-def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0) -> DataFrame:
+def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0, start: DataFrame | None = None) -> DataFrame:
     """Springs along edges; repulsion from the mean of each cell of a grid, which stands for its vertices."""
     a = cut(g.as_undirected().adjacency.where("src <> dst").select("src", "dst"))
     n = max(1, g.num_vertices())
     k, heat = side / math.sqrt(n), side / 10
-    at = cut(random_layout(g, side, seed))
+    at = cut(random_layout(g, side, seed) if start is None else start.select("id", "x", "y"))
     for _ in range(rounds):
         cells = at.groupBy(F.floor(F.col("x") / (side / 8)).alias("cx"), F.floor(F.col("y") / (side / 8)).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
         cells = cells.orderBy(F.desc("n")).limit(256)  # positions stay in a box of bounded cells; a far stray cell weighs nothing
@@ -52,3 +52,40 @@ def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0)
         at = cut(f.select("id", box(F.col("x") + F.col("fx") * move).alias("x"), box(F.col("y") + F.col("fy") * move).alias("y")))
         heat *= 0.9
     return at
+
+
+def multilevel_layout(g: Graph, rounds: int = 10, side: float = 10.0, least: int = 64, seed: int = 0) -> DataFrame:
+    """``force_layout`` of the coarsest graph first; each finer one starts where its blocks lie, a little apart."""
+    from vertexloom.operators.transform import coarse_stack
+
+    stack = coarse_stack(g, least=least, seed=seed)
+    graphs = [g, *(x for x, _ in stack)]
+    at = force_layout(graphs[-1], rounds, side, seed)
+    for level in range(len(stack) - 1, -1, -1):
+        apart = random_layout(graphs[level], side / 100, seed).toDF("id", "dx", "dy")
+        start = stack[level][1].join(at.withColumnRenamed("id", "block"), "block").join(apart, "id").select("id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+        at = force_layout(graphs[level], rounds, side, seed, start)
+    return at
+
+
+def arf_layout(g: Graph, rounds: int = 30, a: float = 10.0, d: float = 0.5, dt: float = 1e-3, seed: int = 0) -> DataFrame:
+    """Every vertex is drawn to all others (``a`` times as strongly along edges) and pushed off at constant force ``d`` sqrt(N) by
+    each, where the cells of a grid stand for the vertices in them."""
+    n = max(1, g.num_vertices())
+    e = cut(g.as_undirected().adjacency.where("src <> dst").select("src", "dst"))
+    at = cut(random_layout(g, math.sqrt(n), seed))
+    for _ in range(rounds):
+        ends = at.agg(F.avg("x").alias("ax"), F.avg("y").alias("ay"), F.min("x").alias("lx"), F.min("y").alias("ly"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / 16 + 1e-9).alias("w"))
+        placed = at.join(F.broadcast(ends))
+        cells = placed.groupBy(F.floor((F.col("x") - F.col("lx")) / F.col("w")).alias("cx"), F.floor((F.col("y") - F.col("ly")) / F.col("w")).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))  # 17 by 17 at most
+        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+        length = F.sqrt(dx * dx + dy * dy) + 1e-6
+        push = at.join(F.broadcast(cells)).groupBy("id").agg(F.sum(F.col("n") * dx / length).alias("px"), F.sum(F.col("n") * dy / length).alias("py"))
+        near = e.join(at.toDF("src", "x", "y"), "src").join(at.toDF("dst", "u", "v"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("u") - F.col("x")).alias("qx"), F.sum(F.col("v") - F.col("y")).alias("qy"))
+        f = placed.join(push, "id").join(near, "id", "left")
+
+        def moved(c, mean, pushed, pulled):
+            return F.col(c) + dt * (n * (F.col(mean) - F.col(c)) + (a - 1) * F.coalesce(pulled, F.lit(0.0)) + d * math.sqrt(n) * F.col(pushed))
+
+        at = cut(f.select("id", moved("x", "ax", "px", "qx").alias("x"), moved("y", "ay", "py", "qy").alias("y")))
+    return at

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bins import Bins, histogram
+from vertexloom.functions.ordering import numbered
 from vertexloom.graph import Graph
 from vertexloom.plans.iterate import cut
 
@@ -165,4 +166,4 @@ def bfs_order(g: Graph, source: int) -> DataFrame:
     """id, dist, pred and order of a breadth-first search; within a level by predecessor's order, then id."""
     dist = shortest_distance(g, source).where("dist is not null")
     tree = predecessors(g, dist).join(dist, "id")
-    return tree.select("id", "dist", "pred", (F.row_number().over(Window.orderBy("dist", "pred", "id")) - 1).alias("order"))
+    return numbered(tree.select("id", "dist", "pred"), ["dist", "pred", "id"], "order")

@@ -171,12 +171,13 @@ def random_graph(spark: SparkSession, degrees: DataFrame, directed: bool = True,
     return Graph(degrees.select("id"), edges, directed)
 
 
-def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parallel_edges: bool = False, self_loops: bool = False, block: str | None = None, seed: int = 0) -> Graph:
+def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parallel_edges: bool = False, self_loops: bool = False, block: str | None = None, seed: int = 0, probability: DataFrame | None = None) -> Graph:
     """Rewired graph of the same size. A round pairs edges at random (within classes of their targets if the model is correlated)
     and swaps the targets of all pairs at once, where that makes no loop, or parallel edge (also between swaps), unless allowed.
 
     Models: erdos (uniform ends), uncorrelated (keeps degrees), correlated (keeps degrees and, for each edge, the degree class of its target, or
-    its ``block``).
+    its ``block``), probabilistic or blockmodel (keeps degrees; a swap passes with the ratio of its edges' ``probability``, a
+    table of r, s and p over values of ``block``), blockmodel-traditional (blocks drawn by p, uniform ends within them).
     """
     from vertexloom.operators.degree import degree
     from vertexloom.plans.iterate import cut
@@ -188,17 +189,23 @@ def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parall
         b = F.col("b") if self_loops else F.when(F.col("b") >= F.col("a"), F.col("b") + 1).otherwise(F.col("b"))
         e = pick.withColumn("b", b).join(ids.toDF("src", "a"), "a").join(ids.toDF("dst", "b"), "b").select("eid", "src", "dst")
         return g.with_edges(e)
-    if model not in ("uncorrelated", "correlated"):
+    if model == "blockmodel-traditional":
+        return g.with_edges(_by_blocks(g, block, probability, seed))
+    if model not in ("uncorrelated", "correlated", "probabilistic", "blockmodel"):
         raise ValueError(f"unknown model {model}")
+    weighed = model in ("probabilistic", "blockmodel")
     edges = cut(g.edges.select("eid", "src", "dst"))
     if model == "correlated":
         kinds = g.vertices.select("id", F.col(block).alias("k")) if block else degree(g, "total", name="_t").join(degree(g, "in", name="_i"), "id").select("id", F.struct("_t", "_i").alias("k"))
         kinds = cut(kinds)
+    if weighed:
+        kinds = cut(g.vertices.select("id", F.col(block).alias("k")))
     for r in range(rounds):
         e = edges.withColumn("h", F.xxhash64("eid", F.lit(seed), F.lit(r)))
         e = e.join(kinds.withColumnRenamed("id", "dst"), "dst") if model == "correlated" else e.withColumn("k", F.lit(0))
         order = numbered(e.select("eid", "src", "dst", "k", "h"), ["k", "h", "eid"], "n").withColumn("p", F.floor(F.col("n") / 2))
         two = order.groupBy("p").agg(F.min_by(F.struct("eid", "src", "dst", "k"), "n").alias("x"), F.max_by(F.struct("eid", "src", "dst", "k"), "n").alias("y"), F.count(F.lit(1)).alias("c")).where("c = 2 and x.k = y.k")
+        two = cut(two)
         new = two.select("p", F.explode(F.array(F.struct(F.col("x.eid").alias("eid"), F.col("x.src").alias("src"), F.col("y.dst").alias("dst")), F.struct(F.col("y.eid").alias("eid"), F.col("y.src").alias("src"), F.col("x.dst").alias("dst")))).alias("e")).select("p", "e.*")
         new = cut(new)
         bad = new.limit(0).select("p")
@@ -210,17 +217,75 @@ def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parall
             bad = bad.union(ends.join(edges.select(*key).distinct(), ["src", "dst"]).select("p"))
             twice = ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.collect_set("p").alias("ps")).where("c > 1")
             bad = bad.union(twice.select(F.explode("ps")))
+        if weighed:
+            rows = two.select("p", F.explode(F.array("x", "y")).alias("e")).select("p", "e.src", "e.dst", F.lit(-1.0).alias("sign")).unionByName(new.select("p", "src", "dst", F.lit(1.0).alias("sign")))
+            at = rows.join(kinds.toDF("src", "r"), "src").join(kinds.toDF("dst", "s"), "dst").join(probability.select("r", "s", F.col("p").alias("q")), ["r", "s"], "left")
+            gain = at.groupBy("p").agg(F.sum(F.col("sign") * F.log(F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(1e-12)))).alias("gain"))
+            u = (F.pmod(F.xxhash64("p", F.lit(seed), F.lit(-1 - r)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            bad = bad.union(gain.where(F.log(u) >= F.col("gain")).select("p"))
         done = new.join(bad.distinct(), "p", "left_anti").select("eid", "src", "dst")
         edges = cut(edges.join(done.select("eid"), "eid", "left_anti").unionByName(done))
     return g.with_edges(edges)
 
 
+def _by_blocks(g: Graph, block: str, probability: DataFrame, seed: int) -> DataFrame:
+    """eid, src and dst of as many edges as ``g`` has: a pair of blocks by its weight, then an end of each by hash."""
+    from vertexloom.plans.iterate import cut
+
+    pairs = cut(numbered(probability.where("p > 0").select("r", "s", "p"), ["r", "s"], "id"))
+    drawn = sample(pairs.select("id", F.col("p").alias("weight")), g.num_edges(), seed).join(pairs.drop("p"), "id")
+    places = cut(numbered(g.vertices.select("id", F.col(block).alias("b")), ["b", "id"], "n"))
+    spans = cut(places.groupBy("b").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("size")))
+    out = cut(numbered(g.edges.select("eid"), ["eid"], "draw")).join(drawn, "draw")
+    for key, end, salt in (("r", "src", 1), ("s", "dst", 2)):
+        out = out.join(spans.withColumnRenamed("b", key), key).withColumn("n", F.col("low") + F.pmod(F.xxhash64("eid", F.lit(seed), F.lit(salt)), F.col("size"))).drop("low", "size")
+        out = out.join(places.select("n", F.col("id").alias(end)), "n").drop("n")
+    return out.select("eid", "src", "dst")
+
+
+def coarse(g: Graph, method: str = "matching", weight: str | None = None, seed: int = 0) -> tuple[Graph, DataFrame]:
+    """A smaller graph and (id, block): ends of a greedy matching are one vertex, or (independent) every vertex joins the
+    smallest neighbour in a maximal independent set. Vertex and edge ``count`` hold what was merged."""
+    from vertexloom.operators.components import greedy_matching, independent_set
+    from vertexloom.plans.iterate import cut
+
+    if method == "matching":
+        pairs = g.edges.join(greedy_matching(g, weight, seed=seed), "eid", "left_semi").select(F.explode(F.array("src", "dst")).alias("id"), F.least("src", "dst").alias("b"))
+    elif method == "independent":
+        centres = cut(independent_set(g, seed))
+        pairs = g.as_undirected().adjacency.where("src <> dst").join(centres.toDF("dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("b"))
+    else:
+        raise ValueError(f"unknown method {method}")
+    blocks = cut(g.vertices.select("id").join(pairs, "id", "left").select("id", F.coalesce("b", "id").alias("block")))
+    v = g.vertices.drop("block").join(blocks, "id")
+    vweight, eweight = ("count" if "count" in x.columns else None for x in (g.vertices, g.edges))
+    out = condensation(Graph(v, g.edges, g.directed), "block", vweight, eweight, self_loops=False)
+    return Graph(cut(out.vertices), cut(out.edges), g.directed), blocks
+
+
+def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: str | None = None, seed: int = 0) -> list[tuple[Graph, DataFrame]]:
+    """Coarser and coarser graphs, until ``least`` vertices are left or nothing merges."""
+    out, n = [], g.num_vertices()
+    while n > least:
+        smaller, blocks = coarse(g, method, weight if not out else "count", seed + len(out))
+        m = smaller.num_vertices()
+        if m == n:
+            break
+        out.append((smaller, blocks))
+        g, n = smaller, m
+    return out
+
+
 def sample(weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """draw and id of ``n`` draws from (id, weight): a cumulative sum, and a range join on its bucketed steps."""
-    w = numbered(weights.where("weight > 0"), ["id"], "_n")
-    total = weights.agg(F.sum("weight")).first()[0] or 0.0
-    cum = F.sum("weight").over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
-    steps = w.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("weight"))
+    """draw and id of ``n`` draws from (id, weight): a cumulative sum, in blocks, and a range join on its bucketed steps."""
+    from vertexloom.plans.iterate import cut
+
+    w = cut(numbered(weights.where("weight > 0"), ["id"], "_n").withColumn("_b", F.floor(F.col("_n") / 65536)))
+    blocks = w.groupBy("_b").agg(F.sum("weight").alias("_s"))
+    total = blocks.agg(F.sum("_s")).first()[0] or 0.0
+    before = blocks.select("_b", (F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_o"))
+    cum = F.sum("weight").over(Window.partitionBy("_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    steps = w.withColumn("hi", cum).join(before, "_b").withColumn("hi", F.col("hi") + F.col("_o")).withColumn("lo", F.col("hi") - F.col("weight"))
     width = total / max(1, min(n, 1024))
     steps = steps.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     u = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52) * total).alias("u"))

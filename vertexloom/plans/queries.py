@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.operators import centrality, clustering, community, components, correlations, degree, paths, spectral, stats, transform
+from vertexloom.operators import centrality, clustering, community, components, correlations, degree, flow, layout, paths, spectral, stats, transform
 from vertexloom.plans.testgraphs import POINTS, SIMPLE, SPARSE, SUPPLY, TREE, USERS, points, simple_users, sparse_users, supply, table, tree, users
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -710,3 +710,90 @@ def majority_blocks(s, d):
 @query()
 def label_propagation(s, d):
     return community.label_propagation(sparse_users(s, d), 6)
+
+
+# Samples, coarse graphs, block rewiring and the local kernels
+
+
+@query()
+def motif_significance(s, d):
+    return rounded(clustering.motif_significance(stats.remove_self_loops(sparse_users(s, d)), 3, 2), "mean", "std_dev", "z")
+
+
+def _block_weights(g: Graph) -> DataFrame:
+    e = g.edges.join(g.vertices.select(F.col("id").alias("src"), F.col("block").alias("r")), "src").join(g.vertices.select(F.col("id").alias("dst"), F.col("block").alias("s")), "dst")
+    return e.groupBy("r", "s").agg(F.count(F.lit(1)).cast("double").alias("p"))
+
+
+@query(f"with {_DEG} select id, ko.k as k_out, ki.k as k_in from ko join ki using (id)")
+def rewire_probabilistic_degrees(s, d):
+    g = users(s, d)
+    made = transform.random_rewire(g, "probabilistic", 1, True, True, "block", 3, _block_weights(g))
+    return degree.degree(made, "out", name="k_out").join(degree.degree(made, "in", name="k_in"), "id")
+
+
+@query(f"with {USERS} select count(*) as edges, sum(eid)::bigint as eids from e")
+def rewire_blocks(s, d):
+    g = users(s, d)
+    made = transform.random_rewire(g, "blockmodel-traditional", block="block", seed=3, probability=_block_weights(g))
+    return made.edges.agg(F.count(F.lit(1)).alias("edges"), F.sum("eid").alias("eids"))
+
+
+@query(f"with {SPARSE} select count(*)::double as merged from v")
+def coarse_graph(s, d):
+    return transform.coarse(sparse_users(s, d), "independent")[0].vertices.agg(F.sum("count").alias("merged"))
+
+
+@query(f"with {SPARSE} select count(*)::double as merged from v")
+def coarse_stack(s, d):
+    return transform.coarse_stack(sparse_users(s, d))[-1][0].vertices.agg(F.sum("count").alias("merged"))
+
+
+@query("select true as balanced")
+def max_flow(s, d):
+    """The flow's value is the capacity of the cut that it leaves."""
+    g = stats.remove_self_loops(sparse_users(s, d))
+    source = _first(g)
+    target = paths.shortest_distance(g, source).where("dist > 0").orderBy(F.desc("dist"), "id").first()["id"]
+    value, residual = flow.max_flow(g, source, target, "w")
+    side = flow.min_st_cut(g, source, "w", residual)
+    out = g.edges.join(side.where("on_source_side").select(F.col("id").alias("src")), "src", "left_semi").join(side.where("not on_source_side").select(F.col("id").alias("dst")), "dst", "left_semi")
+    return out.agg((F.abs(F.sum("w") - value) < 1e-6).alias("balanced"))
+
+
+@query(f"with {TREE}, r as (select 0::bigint as id union all select dst from e where src = 0 union all select b.dst from e a join e b on b.src = a.dst where a.src = 0) select r.id, coalesce(e.src, 0) as idom from r left join e on e.dst = r.id")
+def dominator_tree(s, d):
+    return flow.dominator_tree(tree(s, d), 0)
+
+
+@query(f"with {TREE}, k as (select id, count(*) as n from (select src as id from e union all select dst from e) group by id) select v.id, coalesce(k.n, 0) > 1 as articulation from v left join k using (id)")
+def articulation_points(s, d):
+    return flow.biconnected_components(tree(s, d))[1]
+
+
+@query("select true as planar")
+def planar_lattice(s, d):
+    return s.createDataFrame([(flow.is_planar(transform.lattice(s, [12, 12])),)], "planar boolean")
+
+
+@query("select 72::bigint as pairs")
+def lattice_matching(s, d):
+    return flow.max_cardinality_matching(transform.lattice(s, [12, 12])).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query()
+def arf_layout(s, d):
+    return rounded(layout.arf_layout(sparse_users(s, d), 3), "x", "y", places=3)
+
+
+@query()
+def multilevel_layout(s, d):
+    return rounded(layout.multilevel_layout(sparse_users(s, d), 2), "x", "y", places=3)
+
+
+@query(f"with {USERS} select id, count(*) as n from (select src as id from e union all select dst from e) group by id having count(*) > 0")
+def overlap_memberships(s, d):
+    """Each vertex's half-edges over the blocks that they lie in."""
+    g = users(s, d)
+    h = transform.half_edges(g).vertices.select("node", (F.col("id") % 3).alias("block"))
+    return community.overlap_sets(h).select(F.col("node").alias("id"), F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))

@@ -39,12 +39,12 @@ u as (select src, dst, eid, w from s union all select dst, src, eid, w from s)""
 
 
 def sparse_users(spark: SparkSession, sf_dir: str) -> Graph:
-    """The edges of one in sixteen event ids: undirected, sparse, with several components."""
+    """The edges of one in 64 event ids, on all users: directed, sparse, with several components."""
     g = users(spark, sf_dir)
     return Graph(g.vertices, g.edges.where("eid % 64 = 3"), True)
 
 
-#: A sparse graph is a graph of its own, over the table's whole range of ids.
+#: The rule makes a graph of another shape, as a filtered view does; it reads the whole table.
 SPARSE = USERS + """,
 t as (select * from e where eid % 64 = 3),
 p as (select distinct src, dst from t where src <> dst),

@@ -9,6 +9,8 @@ from vertexloom.plans import testgraphs
 
 NAMES = {"users": testgraphs.users, "simple_users": testgraphs.simple_users, "sparse_users": testgraphs.sparse_users, "supply": testgraphs.supply, "tree": testgraphs.tree}
 
+DESCRIPTIONS = {name: f.__doc__.strip().splitlines()[0] for name, f in NAMES.items()}
+
 
 def load(spark: SparkSession, name: str, sf_dir: str) -> Graph:
     return NAMES[name](spark, sf_dir)
