@@ -1,14 +1,17 @@
 """The stages, each against what its operator says of the stage's own input."""
 
+import glob
+import os
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import groups
 from vertexloom.llm import mixing, quality_classifier, substring
-from vertexloom.llm.queries import queries
+from vertexloom.llm.queries import oracle_sql, queries
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,14 @@ def test_run_and_names(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert Counter(n.split("_")[0] for n in queries()) == Counter(f"op{k}" for k in range(1, 11))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, name):
+    top, db = "/root/testdata/sf0.001", duckdb.connect()
+    for p in glob.glob(f"{top}/*.parquet"):
+        db.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    got = queries()[name](spark, top)
+    want = db.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert Counter(map(tuple, got.select(columns).collect())) == Counter(want.fetchall())

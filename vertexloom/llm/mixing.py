@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm._shared import WORD, cut, fresh
 
-RANGE = 2048
+RANGE, KEY_BITS = 2048, 60
 #: Between words and the white space after them.
 _AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
@@ -42,11 +42,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return best.select("source", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
+def random_key(doc_id: Column, seed: int) -> Column:
+    """The first ``KEY_BITS`` bits of an MD5 of the id; null ids share one."""
+    text = F.concat_ws(":", doc_id.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def taken(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2, seed: int = 17) -> DataFrame:
     """doc_id, size, digest, source_size, target and taken from (doc_id, source, size, digest)."""
-    rows = cut(rows.withColumn("key", F.xxhash64("doc_id", F.lit(seed))))
+    rows = cut(rows.withColumn("key", random_key(F.col("doc_id"), seed)))
     bits = max(0, (rows.count() // RANGE).bit_length())
-    rows = rows.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("range", F.shiftrightunsigned("key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
     ranges = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("size")))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     whole = targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
