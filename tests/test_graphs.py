@@ -223,6 +223,15 @@ def test_formats(spark, tmp_path, people):
     assert g.directed and g.num_edges() == 2 and g.edges.where("w = 2").count() == 2
 
 
+def test_strong_components_both_ways(spark):
+    import random
+
+    rng = random.Random(6)
+    g = make(spark, [(rng.randrange(40), rng.randrange(40)) for _ in range(55)], 40)
+    want = column(components.strong_components(g), "label")
+    assert column(components.strong_components(g, at_most=0), "label") == want and len(set(want)) < 40
+
+
 def test_block_rewiring(spark, people):
     g = make(spark, [(s, t) for s, t, _ in EDGES], 10)
     odd = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "r long, s long, p double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.local.kernels import strong_labels
 from vertexloom.plans.iterate import cut
 
 
@@ -31,13 +32,19 @@ def weak_components(g: Graph) -> DataFrame:
     return g.vertices.select("id").join(stars.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("label"))
 
 
-def strong_components(g: Graph) -> DataFrame:
+def strong_components(g: Graph, at_most: int = 100_000) -> DataFrame:
     """id and label (the smallest id of the strongly connected component).
 
+    A graph of ``at_most`` different edges is searched on the driver, once they are counted; a larger one in rounds.
+
     Rounds of colouring: every vertex left takes the smallest id that reaches it; those that reach back within a colour
     form the component of the colour's root. Vertices without edges in or out among those left are trimmed first.
     """
     left, edges, done = cut(g.vertices.select("id")), cut(g.edges.where("src <> dst").select("src", "dst").distinct()), None
+    if edges.count() <= at_most:
+        found = strong_labels([(r["src"], r["dst"]) for r in edges.collect()])
+        labels = g.edges.sparkSession.createDataFrame(sorted(found.items()), "id long, label long")
+        return left.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
     def add(rows):
         return rows if done is None else cut(done.unionByName(rows))
