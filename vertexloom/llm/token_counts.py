@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,16 @@ from vertexloom.llm._shared import arrow_map, slices
 
 CHUNK, OVERLAP, REACH = 1 << 15, 1 << 10, 64
 #: Long runs are left to the tokenizer itself, whose time on them is not quadratic.
-_RUN = re.compile(r"\s{4096}|\S{4096}")
+_LONG = 4096
+_SPACES = re.compile(rf"\s{{{_LONG}}}")
+
+
+def _runs(text: str) -> bool:
+    """Whether ``_LONG`` characters in a row are white space, or none of them is."""
+    if len(text) < _LONG:
+        return False
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) >= _LONG or (len(text) - sum(sizes) >= _LONG and _SPACES.search(text) is not None)
 
 
 class Encoder:
@@ -72,13 +82,13 @@ class Encoder:
         self.fast = tiktoken.Encoding("quick", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _can(self, text: str) -> bool:
-        return self.fast is not None and not _RUN.search(text) and not any(s in text for s in self.special)
+        return self.fast is not None and not _runs(text) and not any(s in text for s in self.special)
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) > CHUNK:
             return self.spliced(text)
         if self._can(text):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
+            return np.asarray(array("I", self.fast.encode_ordinary(text)))
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _boundaries(self, text: str) -> tuple[np.ndarray, dict[int, int]]:
