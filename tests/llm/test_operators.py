@@ -48,6 +48,11 @@ def test_lm_scores(docs, rows):
         assert any(abs(by_row.code(s, learn=False) - x) < 1e-6 * max(1, abs(x)) for x in scores[i, len(s.split()) + 1, len(s)])
 
 
+def test_lm_uses_every_context(docs):
+    whole, few = (sorted((str(r["doc_id"]), r["n_bytes"], round(r["score"], 6)) for r in lm_scoring.score(docs, capacity=c).collect()) for c in (1 << 20, 50))
+    assert few == whole
+
+
 def test_trie_is_a_distribution():
     text = b"abracadabra abracadabra\n"
     buffer, lengths, _ = ppm.joined([text, b"cab"])
