@@ -270,6 +270,17 @@ def test_few_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_partly_found_queries(spark):
+    x = np.random.default_rng(3).normal(size=(30, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in (0, 20):
+        s = np.array([np.cumsum(x[q] * v)[-1] for v in x])
+        want += [(q, n + 1, k) for n, k in enumerate([k for k in np.lexsort((np.arange(30), -s)) if k != q][:20])]
+    assert got == want
+
+
 # 6
 
 

@@ -184,7 +184,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 8, has
     full = found.groupBy("query_id").count().where(F.col("count") >= min(k, whole)).select(F.col("query_id").alias("vec_id"))
     short = cut(queries.join(full, "vec_id", "left_anti"))
     if short.take(1):
-        found = found.union(_searched(short, entries, k, width))
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(found.columns).union(_searched(short, entries, k, width))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
