@@ -281,6 +281,13 @@ def test_partly_found_queries(spark):
     assert got == want
 
 
+def test_search_in_blocks_keeps_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [-1.0, 0.0]), (2, [3.0, 0.5]), (3, [0.5, 4.0]), (4, [-5.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").coalesce(1)
+    got = ann._searched(df.where("vec_id = 1"), ann._entries(df, 2), 2, 2, block=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 4, 5.0), (1, 2, 3, 4.0)]
+
+
 # 6
 
 

@@ -189,16 +189,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 8, has
 
 
 def _searched(queries: DataFrame, entries: DataFrame, k: int, width: int, block: int = 4096) -> DataFrame:
-    """Against all entries, in blocks of queries that are broadcast one after the other."""
+    """Against all entries, in blocks of queries that are broadcast one after the other; an id's vectors may lie in several."""
     shared_dir(queries.sparkSession)
     ship(queries.sparkSession)
     out, after = None, None
-    queries = queries.orderBy("vec_id")
+    queries = cut(queries.withColumn("row", F.monotonically_increasing_id())).orderBy("row")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     while True:
-        got = (queries if after is None else queries.where(F.col("vec_id") > after)).limit(block).collect()
+        got = (queries if after is None else queries.where(F.col("row") > after)).limit(block).collect()
         if not got:
-            return out
-        after = got[-1]["vec_id"]
+            return out.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        after = got[-1]["row"]
         asked = queries.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got])))
 
         def met(batches, asked=asked):
@@ -207,6 +208,5 @@ def _searched(queries: DataFrame, entries: DataFrame, k: int, width: int, block:
                     q, v, s = _best(*asked.value, batch.column(0).to_pylist(), _matrix(batch.column(1), width), k)
                     yield pa.record_batch([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        found = arrow_map(entries, met, FOUND).distinct()
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        found = arrow_map(entries, met, FOUND)
         out = found if out is None else out.union(found)
