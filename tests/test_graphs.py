@@ -297,6 +297,16 @@ def test_layouts(people):
         assert df.count() == 10 and df.where("x is null or isnan(y)").isEmpty()
 
 
+def test_every_cell_repels(spark):
+    place = [(k, -9.4 + 1.25 * (k % 20), -9.4 + 1.25 * (k // 20)) for k in range(400)]  # each in a cell of its own
+    g = make(spark, [(0, 0)], 400, False)
+    got = {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(g, 1, start=spark.createDataFrame(place, "id long, x double, y double")).collect()}
+    for k, x, y in place[::37]:
+        px, py = (sum(0.25 * d / ((x - u) ** 2 + (y - v) ** 2 + 1e-3) for _, u, v in place for d in [(x - u, y - v)[c]]) for c in (0, 1))
+        move = min(1.0, 1 / (math.hypot(px, py) + 1e-9))
+        assert got[k] == pytest.approx((max(-10, min(20, x + px * move)), max(-10, min(20, y + py * move))), abs=1e-6)
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long").write.parquet(f"{tmp_path}/in")
     edges = spark.readStream.schema("src long, dst long").parquet(f"{tmp_path}/in")

@@ -36,9 +36,9 @@ def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0,
     n = max(1, g.num_vertices())
     k, heat = side / math.sqrt(n), side / 10
     at = cut(random_layout(g, side, seed) if start is None else start.select("id", "x", "y"))
-    for _ in range(rounds):
-        cells = at.groupBy(F.floor(F.col("x") / (side / 8)).alias("cx"), F.floor(F.col("y") / (side / 8)).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        cells = cells.orderBy(F.desc("n")).limit(256)  # positions stay in a box of bounded cells; a far stray cell weighs nothing
+    box = lambda c: F.greatest(F.lit(-side), F.least(F.lit(2 * side), c))
+    for _ in range(rounds):  # 25 by 25 cells at most
+        cells = at.groupBy(F.floor(box(F.col("x")) / (side / 8)).alias("cx"), F.floor(box(F.col("y")) / (side / 8)).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
         dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
         d2 = dx * dx + dy * dy + 1e-3
         push = at.join(F.broadcast(cells)).groupBy("id").agg(F.sum(F.col("n") * k * k * dx / d2).alias("px"), F.sum(F.col("n") * k * k * dy / d2).alias("py"))
@@ -48,7 +48,6 @@ def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0,
         f = at.join(push, "id").join(pull, "id", "left").withColumn("fx", F.col("px") + F.coalesce("qx", F.lit(0.0))).withColumn("fy", F.col("py") + F.coalesce("qy", F.lit(0.0)))
         norm = F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2) + 1e-9
         move = F.least(norm, F.lit(heat)) / norm
-        box = lambda c: F.greatest(F.lit(-side), F.least(F.lit(2 * side), c))
         at = cut(f.select("id", box(F.col("x") + F.col("fx") * move).alias("x"), box(F.col("y") + F.col("fy") * move).alias("y")))
         heat *= 0.9
     return at
