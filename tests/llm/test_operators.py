@@ -263,6 +263,55 @@ def test_nearest(spark):
     assert len(got) == 20 and hits / 400 >= 0.9
 
 
+def test_nearest_of_uneven_norms_and_frequent_vectors(spark):
+    """More shards than one, largest norms far off, a vector in a third of the rows, an id with several vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9000, 8)) * rng.exponential(size=(9000, 1))
+    x[3000:6000] = x[1]
+    ids = np.arange(9000)
+    ids[7000:7010] = 20
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 300 == 0, 5, shard=2000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 9000, 300):
+        s = np.cumsum(x * x[q], axis=1)[:, -1]
+        order = [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:5]
+        assert len(got[q]) == 5 and all(np.isclose(s[ids == k], v).any() for k, v in got[q])
+        hits += len({k for k, _ in got[q]} & set(order)) / len(set(order))
+        if 3000 <= q < 6000 and order == [1, *range(3000, 3004)]:
+            assert [k for k, _ in got[q]] == order
+    assert len(got) == 30 and hits / 30 >= 0.9
+
+
+def test_probes_of_a_query_are_its_best_buckets():
+    shape = ann.Hash(8, 2, 2)
+    x = np.random.default_rng(5).normal(size=(7, 8))
+    y = shape.rotated(x, True)
+    both = np.concatenate([y, -y], -1)
+    fall = both.max(-1, keepdims=True) - both
+    whole = fall[:, :, 0, :, None] + fall[:, :, 1, None, :]
+    for many in (1, 5, 40, 256):
+        got = shape.probes(x, many)
+        for n in range(7):
+            for t in range(2):
+                values = whole[n, t].ravel()
+                assert len(set(got[n, t])) == many and np.allclose(values[got[n, t] - 256 * t], np.sort(values)[:many])
+
+
+def test_share_of_vectors_scored_falls(spark):
+    shares = []
+    for n in (500, 4000, 16000):
+        x = np.random.default_rng(6).normal(size=(n, 64)).astype(np.float32)
+        shape = ann.Hash.fitting(64, n)
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<float>")
+        many = ann.probes_for(df, df.where("vec_id < 40"), shape, 10, "float")
+        index = ann.Shard(np.arange(n), np.arange(n), x, shape)
+        shares.append(np.mean([len(c) for c in index.candidates(x[:40], many)]) / n)
+    assert shares[0] > shares[1] > shares[2]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
@@ -284,7 +333,7 @@ def test_partly_found_queries(spark):
 def test_search_in_blocks_keeps_vectors_of_one_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [-1.0, 0.0]), (2, [3.0, 0.5]), (3, [0.5, 4.0]), (4, [-5.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").coalesce(1)
-    got = ann._searched(df.where("vec_id = 1"), ann._entries(df, 2), 2, 2, block=2).orderBy("rank").collect()
+    got = ann._searched(df.where("vec_id = 1"), df, 2, 2, block=2).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 4, 5.0), (1, 2, 3, 4.0)]
 
 
