@@ -498,6 +498,18 @@ def test_substring_blocks(docs, rows, block):
     assert Counter(map(tuple, substring.digests(docs, 50, block).collect())) == brute_substring(rows)
 
 
+def test_windows_of_colliding_words_differ(spark):
+    """Words of 1024 letters whose polynomial hashes modulo 2**64 agree, in texts that are alike but for them."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = ("".join("xy"[x ^ flip] for x in bits) for flip in (0, 1))
+    hashes = substring.Words()([a.encode(), b.encode()])[0]
+    assert hashes[0] == hashes[1]
+    rest = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join([*rest[:25], a, *rest[25:]])), (2, " ".join([*rest[:25], b, *rest[25:]])), (3, " ".join([*rest[:25], b, *rest[25:49]]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
 def test_substring_texts(clashing, rows):
     out = substring.deduplicated(clashing)
     assert out.columns == clashing.columns

@@ -8,11 +8,12 @@ A document's reference blocks are its words cut every ``block`` words; a window
    chosen rolling block meets; the others can't be needed;
 2. a block lives if some document owns it and a later one has it. A window over it holds half of its other words on
    one side of the block at least, so a hit, a place of a live block, must have that half in common too. All windows
-   over a hit are extended word by word: their 128-bit hashes meet in one aggregate with the first document of each,
-   so that neighbouring windows make up the maximal repeats, and no pairs of documents are formed;
+   over a hit are extended word by word: the XXH3-128 of each window's bytes meet in one aggregate with the first document
+   of each, so that neighbouring windows make up the maximal repeats, and no pairs of documents are formed. The quicker
+   hashes of words, blocks and halves only choose these windows: one that collides costs time and removes nothing;
 3. each document drops the words under its windows that an earlier document has.
 
-Whole copies are known by 128 bits of their texts: they are dropped by that alone (if they hold a window) and spare
+Whole copies are known by 128 bits of their texts (XXH64 with two seeds): they are dropped by that alone (if they hold a window) and spare
 stage 2 their windows, as the first copy stands for them.
 
 Texts are read in place for 1 and joined by document for 2 (documents with hits) and 3. Counts are pre-summed by task;
@@ -28,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,13 @@ from vertexloom.llm._shared import LAST_ID, arrow_map, cut, fresh, mixed, slices
 
 WINDOW, BLOCK = 50, 5
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-_SALT = np.uint64(0x5851F42D4C957F2D)
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\x0b\x0c\r")] = True
 
 
 class Words:
-    """64-bit hashes of all words of some texts, without taking the words apart: by prefix sums over the bytes."""
+    """64-bit hashes of all words of some texts, without taking the words apart: by prefix sums over the bytes. Equal words
+    have equal hashes; the reverse may fail (for one, on words of the Thue-Morse sequence), so nothing is removed by them."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -150,23 +152,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     marks = marks.join(copies, ["_doc", "_digest"], "left_anti")
 
     def extended(batches):
-        hashes = Words()
         for batch, texts in slices(batches):
-            parts = []
-            all_words, rows = hashes(texts)
-            edges = np.searchsorted(rows, np.arange(len(texts) + 1))
-            for k, places in enumerate(batch.column(3).to_pylist()):
-                words = all_words[edges[k] : edges[k + 1]]
+            found, rows, starts = [], [], []
+            for k, (text, places) in enumerate(zip(texts, batch.column(3).to_pylist(), strict=True)):
+                words = text.split()
+                ends = np.cumsum([len(w) + 1 for w in words])
                 n = len(words) - window + 1
                 edge = np.zeros(n + 1, np.int64)
                 places = np.array(places)
                 np.add.at(edge, np.clip(places - (window - block), 0, n), 1)
                 np.add.at(edge, np.clip(places + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                parts.append((rolling(words, window, _BASES[0])[at], rolling(mixed(words ^ _SALT), window, _BASES[1])[at], np.full(len(at), k), at))
-            a, b, rows, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rows = rows.astype(np.int64)
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(batch.column(0).to_numpy()[rows]), pa.array(batch.column(1).to_numpy()[rows]), pa.array(at.astype(np.int32))], ["a", "b", "_doc", "_digest", "place"])
+                stream, begins = b" ".join(words), ends - [len(w) + 1 for w in words]
+                found += [xxhash.xxh3_128_digest(stream[i:j]) for i, j in zip(begins[at].tolist(), (ends[at + window - 1] - 1).tolist(), strict=True)]
+                rows.append(np.full(len(at), k))
+                starts.append(at)
+            rows, names = np.concatenate(rows).astype(np.int64), np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            yield pa.record_batch([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(batch.column(0).to_numpy()[rows]), pa.array(batch.column(1).to_numpy()[rows]), pa.array(np.concatenate(starts).astype(np.int32))], ["a", "b", "_doc", "_digest", "place"])
 
     windows = written(arrow_map(keyed.join(marks, ["_doc", "_digest"]).select("_doc", "_digest", "text", "places"), extended, "a long, b long, _doc long, _digest long, place int"))
     first = cut(windows.groupBy("a", "b").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last").drop("last"))
