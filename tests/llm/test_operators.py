@@ -205,7 +205,7 @@ def spread_fingerprints(n=300):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("hot", [20_000, 12, 3, 1])
 def test_links_lose_nothing(spark, hot):
     fps = spread_fingerprints()
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
@@ -227,6 +227,13 @@ def test_forest_connects_large_groups():
     assert len(got) == len(fps) - len(set(brute_components([int(x) for x in fps])))
 
 
+def test_joins_on_hot_keys(spark):
+    rows = spark.createDataFrame([(k, 0 if k < 300 else k % 50) for k in range(500)], "id long, key long")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    want = Counter((r["id"], r["key"], r["least"]) for r in rows.join(sizes, "key").collect())
+    assert Counter((r["id"], r["key"], r["least"]) for r in simhash._met(rows, sizes, "key", 20).collect()) == want
+
+
 def test_near_duplicates_edges(empty, clashing, docs):
     assert simhash.near_duplicates(empty).count() == 0
     one = simhash.deduplicated(clashing)

@@ -5,7 +5,8 @@ Fingerprint bits are majority votes of XXH64 (seed 42) over word shingles. Two f
 which every run of l segments holds at most floor(4 l / 5) differences, that is 0, 1, 2, 3, 4 for l = 1..5. An index
 key is a start, its segment and the next one (26 bits); a fingerprint probes the keys whose second segment differs from
 its own in one bit or none. The rest of the ring is checked before the full distance. Keys under which more than
-``HOT`` fingerprints lie are split by the third segment of the chain, with its budget, and stay exact.
+``HOT`` fingerprints lie, and those that these probe, are split by the third segment of the chain, with its budget, and
+if that leaves as many by the fourth, under which at most 8,192 different fingerprints can lie. All stay exact.
 
 Only distinct fingerprints are linked, so groups of copies cost one row; from a key's group comes a spanning forest of
 its links and never all pairs. Components are found by alternating large and small stars over DataFrames.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from vertexloom.llm._shared import arrow_map, cut, fresh, slices
 
 TAU, WIDTHS, HOT = 4, (13, 13, 13, 13, 12), 20_000
+#: Rows of one key that a join leaves together.
+CROWD = 1024
 BUDGET = [TAU * n // len(WIDTHS) for n in range(1, len(WIDTHS) + 1)]
 _SHIFT = [64 - sum(WIDTHS[: i + 1]) for i in range(len(WIDTHS))]
 _CHUNK = 1 << 15
@@ -91,24 +94,57 @@ def _probes(batches):
             yield _rows(keys.ravel(), np.repeat(fp, len(masks)), np.tile(masks == 0, len(fp)))
 
 
-def _deeper(batches):
-    """Rows of hot keys, by the third segment of their chain."""
-    for batch in batches:
-        key, fp, indexed = _unsigned(batch.column(0)), _unsigned(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-        start = (key >> np.uint64(26)).astype(int)
-        for i in range(len(WIDTHS)):
-            for spent in range(BUDGET[1] + 1):
-                here = start == i
-                here[here] = np.bitwise_count((key[here] & np.uint64(8191)) ^ segment(fp[here], i + 1)) == spent
-                masks = within(WIDTHS[(i + 2) % len(WIDTHS)], BUDGET[2] - spent)
-                keys = (key[here] << np.uint64(13))[:, None] | (segment(fp[here], i + 2)[:, None] ^ masks[None, :]) | np.uint64(1 << 62)
-                yield _rows(keys.ravel(), np.repeat(fp[here], len(masks)), (indexed[here][:, None] & (masks == 0)[None, :]).ravel())
+_DEEP = {2: 0, 3: 1 << 62, 4: 1 << 61}  # marks keys by their number of segments
+_START = {n: len(WIDTHS[:n]) * 13 for n in _DEEP}
+
+
+def _spent(key: np.ndarray, fp: np.ndarray, start: int, depth: int) -> np.ndarray:
+    """In how many bits the segments of a key of ``depth`` differ from the fingerprint's; -1 if it has another start."""
+    bare = key & np.uint64((1 << 61) - 1)
+    out = np.full(len(key), -1)
+    here = (bare >> np.uint64(_START[depth])).astype(int) == start
+    parts = [((bare[here] >> np.uint64(13 * (depth - 1 - j))) & np.uint64(8191)) ^ segment(fp[here], start + j) for j in range(depth)]
+    out[here] = sum(np.bitwise_count(p).astype(int) for p in parts)
+    return out
+
+
+def _deeper(depth: int):
+    """Rows of crowded keys of ``depth`` segments, by one more segment of their chain."""
+
+    def split(batches):
+        for batch in batches:
+            key, fp, indexed = _unsigned(batch.column(0)), _unsigned(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            for i in range(len(WIDTHS)):
+                spent_all = _spent(key, fp, i, depth)
+                for spent in range(BUDGET[depth - 1] + 1):
+                    here = spent_all == spent
+                    masks = within(WIDTHS[(i + depth) % len(WIDTHS)], BUDGET[depth] - spent)
+                    keys = ((key[here] & np.uint64((1 << 61) - 1)) << np.uint64(13))[:, None] | (segment(fp[here], i + depth)[:, None] ^ masks[None, :]) | np.uint64(_DEEP[depth + 1])
+                    yield _rows(keys.ravel(), np.repeat(fp[here], len(masks)), (indexed[here][:, None] & (masks == 0)[None, :]).ravel())
+
+    return split
+
+
+def _beside(depth: int):
+    """Keys of ``depth`` segments that fingerprints under the given ones probe, themselves included."""
+
+    def near(batches):
+        for batch in batches:
+            key = _unsigned(batch.column(0))
+            for i in range(len(WIDTHS)):
+                own = key[((key & np.uint64((1 << 61) - 1)) >> np.uint64(_START[depth])).astype(int) == i]
+                masks = [(0, 0)]
+                for j in range(1, depth):
+                    masks = [(m << 13 | int(x), n + int(x).bit_count()) for m, n in masks for x in within(WIDTHS[(i + j) % len(WIDTHS)], BUDGET[j] - n)]
+                yield pa.record_batch([pa.array((own[:, None] ^ np.array([m for m, _ in masks], np.uint64)[None, :]).ravel().view(np.int64))], ["key"])
+
+    return near
 
 
 def chained(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the ring's budgets hold for every length from the key's start, and so the full distance does."""
-    deep = (key >> np.uint64(62)) & np.uint64(1)
-    start = np.where(deep == 1, (key & np.uint64((1 << 62) - 1)) >> np.uint64(39), key >> np.uint64(26)).astype(np.int64)
+    bare = key & np.uint64((1 << 61) - 1)
+    start = np.select([key & np.uint64(_DEEP[3]) != 0, key & np.uint64(_DEEP[4]) != 0], [bare >> np.uint64(_START[3]), bare >> np.uint64(_START[4])], bare >> np.uint64(_START[2])).astype(np.int64)
     x = a ^ b
     parts = np.stack([np.bitwise_count(segment(x, i)) for i in range(len(WIDTHS))], 1).astype(np.int64)
     ok, spent = np.ones(len(x), bool), np.zeros(len(x), np.int64)
@@ -180,10 +216,16 @@ def _distinct(fp, indexed):
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """a, b: enough of the pairs of different fingerprints within ``TAU`` bits to connect all that they connect."""
-    rows = arrow_map(fps.select("fp"), _probes, ROWS)
-    crowded = cut(rows.where("indexed").groupBy("key").count().where(F.col("count") > hot).select("key"))
-    if crowded.take(1):
-        rows = rows.join(crowded, "key", "left_anti").union(arrow_map(rows.join(crowded, "key", "left_semi").select("key", "fp", "indexed"), _deeper, ROWS))
+    rows, light = arrow_map(fps.select("fp"), _probes, ROWS), None
+    for depth in (2, 3):
+        full = rows.where("indexed").groupBy("key").count().where(F.col("count") > hot).select("key")
+        crowded = cut(arrow_map(full, _beside(depth), "key long").distinct())
+        if not crowded.take(1):
+            break
+        rest = rows.join(crowded, "key", "left_anti").select("key", "fp", "indexed")
+        light = rest if light is None else light.union(rest)
+        rows = cut(arrow_map(rows.join(crowded, "key", "left_semi").select("key", "fp", "indexed"), _deeper(depth), ROWS))
+    rows = rows if light is None else light.union(rows)
     return arrow_map(rows.repartition("key").sortWithinPartitions("key"), _linked, "a long, b long").distinct()
 
 
@@ -210,14 +252,29 @@ def clustered(fps: DataFrame) -> DataFrame:
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _met(rows: DataFrame, table: DataFrame, key: str, crowd: int = CROWD) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each ``key`` and in ``n`` how many rows it meets. Keys of
+    more than ``crowd`` rows are dealt over salts; these keys are one for each ``crowd`` rows at most."""
+    crowded = table.where(F.col("n") > crowd).select(key, F.ceil(F.col("n") / crowd).cast("int").alias("salts"))
+    held = crowded.count()
+    table = table.drop("n")
+    if not held:
+        return rows.join(table, key)
+    crowded = F.broadcast(crowded) if held <= 1 << 16 else crowded
+    last = F.coalesce("salts", F.lit(1)) - 1
+    dealt = rows.join(crowded, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), last + 1).cast("int")).drop("salts")
+    copies = table.join(crowded, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     fps = cut(fingerprints(docs, width))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = clustered(fps).join(least, "fp")
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = known.join(ids, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    known = cut(clustered(fps).join(least, "fp"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    label = cut(_met(known, ids, "root").select("fp", "component_id", F.col("copies").alias("n")))
+    return _met(fps, label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 4) -> DataFrame:
