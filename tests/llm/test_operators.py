@@ -460,6 +460,34 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_with_hot_keys(docs, rows):
+    want = Counter(map(tuple, mixing.mix(docs).collect()))
+    assert Counter(map(tuple, mixing.mix(docs, crowd=2).collect())) == want
+
+
+def test_mixed_keeps_rows_of_sources_apart(spark):
+    """Rows that are alike but for their source, of which one is taken whole and one in part."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), *[(k, "w " * 10, "x") for k in range(2, 20)], *[(k, "w " * 10, "y") for k in range(20, 30)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["n"] for r in mixing.taken(df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(0).cast("long").alias("digest"))).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r["source"]: r["n"] for r in mixing.mixed(df).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert got == {s: n for s, n in taken.items() if n}
+
+
+def test_odd_names_and_bytes(spark, labels):
+    """Column names with dots and back-ticks, and texts that are not UTF-8."""
+    df = spark.range(3).select("id", F.expr("cast(unhex('61ff6220c328') as string)").alias("text"))
+    df = df.select(F.col("id").alias("doc_id"), "text", F.lit("s").alias("source"), F.lit(1).alias("a.b"), F.lit(2).alias("c`d"))
+    got = token_counts.counts(df, tokenizer()).collect()
+    assert [r["n_bytes"] for r in got] == [6] * 3 and len({r["n_tokens"] for r in got}) == 1
+    assert packing.pack(df, tokenizer()).count() == 3
+    assert quality_classifier.accepted(df, labels).columns == simhash.deduplicated(df).columns == df.columns
+    long_ = df.withColumn("text", F.repeat(F.concat(F.col("text"), F.lit(" ")), 60))
+    out = substring.deduplicated(long_)
+    assert out.columns == df.columns and sorted(len(r[0].split()) if r[0] else 0 for r in out.select(F.expr("cast(text as binary)")).collect()) == [0, 0, 120]
+    assert mixing.mixed(df).columns == df.columns
+
+
 def test_mixed_rows(docs, clashing):
     out = mixing.mixed(clashing)
     assert out.columns == clashing.columns
@@ -554,7 +582,7 @@ def test_splicing(exact):
 
 def test_both_encoders_agree_on_code_points(exact):
     encoder = token_counts.Encoder.of(tokenizer())
-    points = [c for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}!{chr(c)}" for c in points]
     for text, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encoder.fast.encode_ordinary(text) == e.ids

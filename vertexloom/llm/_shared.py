@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Words: everything between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in
+    one process (tests)."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not known and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="vertexloom-"))
     return known or sc.getCheckpointDir()
 
@@ -76,9 +80,19 @@ def ship(spark: SparkSession) -> None:
     sc._vertexloom_shipped = True
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, for names with dots and back-ticks too, if ``schema`` is a StructType."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+    if not isinstance(schema, StructType) or not set(".`") & set("".join(names)):
+        return df.mapInArrow(fn, schema)
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+
+    def renamed(batches):
+        for batch in fn(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain.names)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
 
 
 def holdout(doc_id, modulus: int):
@@ -148,6 +162,11 @@ class Lookup:
         return out
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are selected by, whatever they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """``names`` with underscores in front until none clashes with a column in ``taken``."""
     known, out = {c.lower() for c in taken}, []

@@ -115,7 +115,10 @@ NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 
 def pack(docs: DataFrame, path: str, end: int = 1, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """The pieces with sequence_id and offset; a sequence holds ``capacity`` ids at most, without gaps from 0."""
+    """The pieces with sequence_id and offset; a sequence holds ``capacity`` ids at most, without gaps from 0.
+
+    What is not UTF-8 in a text is encoded as replacement characters.
+    """
     parts = cut(pieces(docs, path, end, capacity, with_ids))
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     place = parts.sparkSession.sparkContext.broadcast(Placement(plan(counts, capacity)))

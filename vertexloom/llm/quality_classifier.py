@@ -156,4 +156,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound:
         for batch, texts in slices(batches):
             yield batch.filter(pa.array(model.value.score([make(t) for t in texts]) >= threshold))
 
-    return arrow_map(docs, kept, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return arrow_map(docs, kept, docs.schema)

@@ -133,13 +133,15 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, bound: int, where: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """The documents of up to ``bound`` ids with a quality label, those with the smallest hashes, and their labels."""
+    """The documents of up to ``bound`` ids with a quality label, those with the smallest hashes, and their labels. Of several
+    texts under one id that with the smallest hash stands for it, so that rows are bounded too."""
     teach = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         teach = teach.where(where)
     chosen = {r[0]: r[1] for r in teach.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id", F.desc("quality")).limit(bound).collect()}
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id", "left_semi"), chosen
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 8000, **options) -> list[Rule]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm._shared import LAST_ID, arrow_map, cut, fresh, mixed, slices, written
+from vertexloom.llm._shared import LAST_ID, arrow_map, cut, fresh, mixed, quoted, slices, written
 
 WINDOW, BLOCK = 50, 5
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -213,12 +213,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
             old = batch.column(at)
             if any(spans) or any(wholes):
                 kept = [kept_words(t.split(), s, w, window) if s or w else None for t, s, w in zip(texts, spans, wholes, strict=True)]
-                new = [o if k is None or w and k else b" ".join(k).decode() for k, w, o in zip(kept, wholes, old.to_pylist(), strict=True)]
-                old = pa.array(new, old.type)
+                plain = pa.large_binary() if pa.types.is_large_string(old.type) else pa.binary()
+                new = [o if k is None or w and k else b" ".join(k) for k, w, o in zip(kept, wholes, old.view(plain).to_pylist(), strict=True)]
+                old = pa.array(new, plain).view(old.type)
             yield pa.record_batch([old if k == at else batch.column(k) for k in range(len(columns))], columns)
 
     doc, digest, found, all_ = fresh(columns, "doc", "digest", "spans", "whole")
     spans = repeats(docs, window, block).toDF(doc, digest, found, all_)
     named = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(digest, F.xxhash64("text"))
-    rows = named.join(spans, [doc, digest], "left").select(*columns, found, all_)
-    return arrow_map(rows, made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    rows = named.join(spans, [doc, digest], "left").select(*quoted([*columns, found, all_]))
+    return arrow_map(rows, made, docs.schema)

@@ -132,13 +132,14 @@ class Encoder:
 
 def encoded(path: str, texts: list[bytes]) -> list[np.ndarray]:
     encoder = Encoder.of(path)
-    return [encoder.ids(t.decode()) for t in texts]
+    return [encoder.ids(t.decode("utf-8", "replace")) for t in texts]
 
 
 def counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row; a null text is empty.
 
-    Rows: one for each document; repeated rows and null ids are counted alike. Other columns are not read.
+    Rows: one for each document; repeated rows and null ids are counted alike. What is not UTF-8 in a text counts with its
+    bytes and is encoded as replacement characters. Other columns are not read.
     """
 
     def counted(batches):
