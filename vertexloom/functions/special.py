@@ -27,21 +27,41 @@ def model_entropy(blocks: int, vertices: int, edges: int, directed: bool = False
 
 
 def max_blocks(vertices: int, edges: int, directed: bool = False) -> int:
-    """The number of blocks at which the model costs as much as the edges may save, by bisection."""
-    low, high = 1, max(2, vertices)
-    while high - low > 1:
-        mid = (low + high) // 2
-        if model_entropy(mid, vertices, edges, directed) > edges * math.log(max(mid, 2)):
-            high = mid
+    """The most blocks that can be told apart: where the model's cost for an edge less ln B, the most that blocks can save
+    on it, is least. It falls and then rises, so thirds of the range are compared; 2 at least, ``vertices`` at most."""
+
+    def cost(b: int) -> float:
+        return model_entropy(b, vertices, edges, directed) / edges - math.log(b)
+
+    low, high = 1, max(2, int(edges))
+    while high - low > 2:
+        third = (high - low) // 3
+        if cost(low + third) <= cost(high - third):
+            high -= third
         else:
-            low = mid
-    return low
+            low += third
+    return min(int(vertices), max(2, min(range(low, high + 1), key=cost)))
 
 
 def average_degree_limit(blocks: int, mutual: float, vertices: float = math.inf, directed: bool = False) -> float:
-    """The average degree at which a partition of so much mutual information becomes visible."""
-    cost = math.log(blocks) if blocks > 1 else 0.0
-    return cost / max(mutual, 1e-300) * (1 if directed else 2)
+    """The average degree at which a partition of so much mutual information becomes visible.
+
+    With finitely many vertices it is where the model's cost for an edge meets ``mutual`` times the edges, by bisection.
+    """
+    if math.isinf(vertices):
+        return (math.log(blocks) if blocks > 1 else 0.0) / max(mutual, 1e-300) * (1 if directed else 2)
+
+    def short(degree: float) -> bool:
+        edges = vertices * degree / (1 if directed else 2)
+        return model_entropy(blocks, vertices, edges, directed) / edges > edges * mutual
+
+    low, high = 0.0, 1.0
+    while short(high):
+        low, high = high, 2 * high
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if middle and short(middle) else (low, middle)
+    return high
 
 
 def fast_partitions(n: int, e: int) -> float:

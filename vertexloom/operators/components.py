@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.local.kernels import strong_labels
-from vertexloom.plans.iterate import cut
+from vertexloom.plans.iterate import Rows, cut
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -40,20 +40,17 @@ def strong_components(g: Graph, at_most: int = 100_000) -> DataFrame:
     Rounds of colouring: every vertex left takes the smallest id that reaches it; those that reach back within a colour
     form the component of the colour's root. Vertices without edges in or out among those left are trimmed first.
     """
-    left, edges, done = cut(g.vertices.select("id")), cut(g.edges.where("src <> dst").select("src", "dst").distinct()), None
+    left, edges, done = cut(g.vertices.select("id")), cut(g.edges.where("src <> dst").select("src", "dst").distinct()), Rows()
     if edges.count() <= at_most:
         found = strong_labels([(r["src"], r["dst"]) for r in edges.collect()])
         labels = g.edges.sparkSession.createDataFrame(sorted(found.items()), "id long, label long")
         return left.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
-    def add(rows):
-        return rows if done is None else cut(done.unionByName(rows))
-
     while not left.isEmpty():
         alone = left.join(edges.select(F.col("src").alias("id")), "id", "left_anti").union(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")).distinct()
         alone = cut(alone)
         if not alone.isEmpty():
-            done = add(alone.select("id", F.col("id").alias("label")))
+            done.add(alone.select("id", F.col("id").alias("label")))
             left = cut(left.join(alone, "id", "left_anti"))
             edges = cut(edges.join(alone.withColumnRenamed("id", "src"), "src", "left_anti").join(alone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
             continue
@@ -62,10 +59,11 @@ def strong_components(g: Graph, at_most: int = 100_000) -> DataFrame:
         inside = cut(inside)
         back = reach(colour.where("id = c").select("id"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         found = cut(colour.join(back, "id", "left_semi"))
-        done = add(found.select("id", F.col("c").alias("label")))
+        done.add(found.select("id", F.col("c").alias("label")))
         left = cut(left.join(found, "id", "left_anti"))
         edges = cut(edges.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return done if done is not None else left.select("id", F.col("id").alias("label"))
+    found = done.all()
+    return left.select("id", F.col("id").alias("label")) if found is None else found
 
 
 def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,32 +125,31 @@ def kcore(g: Graph, kind: str = "total") -> DataFrame:
     a = cut((g.adjacency if not g.directed or kind != "total" else g.as_undirected().adjacency).where("src <> dst").select("src", "dst"))
     key, other = ("dst", "src") if g.directed and kind == "in" else ("src", "dst")
     state = cut(g.vertices.select("id").join(a.groupBy(F.col(key).alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("k")))
-    done, level = None, 0
+    done, level = Rows(), 0
     while True:
         least = state.agg(F.min("k")).first()[0]
         if least is None:
-            return done if done is not None else state.select("id", F.col("k").alias("core"))
+            found = done.all()
+            return found if found is not None else state.select("id", F.col("k").alias("core"))
         level = max(level, least)
         gone = state.where(F.col("k") <= level).select("id", F.lit(level).cast("long").alias("core"))
-        done = gone if done is None else done.unionByName(gone)
+        done.add(gone)
         lost = a.join(gone.select(F.col("id").alias(other)), other).groupBy(F.col(key).alias("id")).count()
         state = cut(state.where(F.col("k") > level).join(lost, "id", "left").select("id", (F.col("k") - F.coalesce("count", F.lit(0))).alias("k")))
-        done = cut(done)
 
 
 def topological_levels(g: Graph) -> DataFrame | None:
     """id and level (longest path from a source) by peeling vertices without in-edges; None if there is a cycle."""
-    left, edges, done, level = cut(g.vertices.select("id")), cut(g.edges.select("src", "dst")), None, 0
+    left, edges, done, level = cut(g.vertices.select("id")), cut(g.edges.select("src", "dst")), Rows(), 0
     while not left.isEmpty():
         free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
         if free.isEmpty():
             return None
-        rows = free.select("id", F.lit(level).alias("level"))
-        done = cut(rows if done is None else done.unionByName(rows))
+        done.add(free.select("id", F.lit(level).alias("level")))
         left = cut(left.join(free, "id", "left_anti"))
         edges = cut(edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"))
         level += 1
-    return done if done is not None else left.select("id", F.lit(0).alias("level"))
+    return done.all() if level else left.select("id", F.lit(0).alias("level"))
 
 
 def is_dag(g: Graph) -> bool:

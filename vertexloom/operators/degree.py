@@ -105,9 +105,9 @@ def continuous(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks(df, F.col(column), name).withColumnRenamed("key", column), column)
 
 
-def to_size(df: DataFrame, column: str, low: float, high: float, power: float = 1.5, log: bool = False, name: str = "size") -> DataFrame:
-    """Rescale to low..high along a power of the place in the range; a constant column gets ``low``."""
-    x: Column = F.log1p(column) if log else F.col(column).cast("double")
+def to_size(df: DataFrame, column: str, low: float = 0.0, high: float = 5.0, power: float = 0.5, log: bool = False, name: str = "size") -> DataFrame:
+    """Rescale to low..high along a power of the place in the range; a constant column gets ``low``. ``log`` takes natural logarithms first."""
+    x: Column = F.log(column) if log else F.col(column).cast("double")
     ends = df.agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
     share = F.when(F.col("_b") > F.col("_a"), (x - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)
     return df.join(F.broadcast(ends)).withColumn(name, F.lit(low) + (high - low) * F.pow(share, F.lit(power))).drop("_a", "_b")

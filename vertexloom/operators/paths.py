@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from vertexloom.functions.bins import Bins, histogram
 from vertexloom.functions.ordering import numbered
 from vertexloom.graph import Graph
-from vertexloom.plans.iterate import cut
+from vertexloom.plans.iterate import cut, dealt
 
 
 def _pairs(g: Graph, weight: str | None) -> DataFrame:
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return cut(g.adjacency.where("src <> dst").select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")).repartition("src"))
+    return dealt(g.adjacency.where("src <> dst").select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "src")
 
 
 def distances(g: Graph, sources: DataFrame, weight: str | None = None, max_dist: float | None = None, max_steps: int | None = None) -> DataFrame:
@@ -57,19 +57,23 @@ def predecessors(g: Graph, dist: DataFrame, weight: str | None = None) -> DataFr
 
 
 def shortest_path(g: Graph, source: int, target: int, weight: str | None = None) -> DataFrame:
-    """step, id and eid (of the edge to it) from source to target; empty if there is no path."""
+    """step, id and eid (of the edge to it) from source to target; empty if there is no path.
+
+    Pointers are doubled: after n rounds each vertex knows its ancestor 2**n steps up, and the path so far leaps by them.
+    """
     dist = shortest_distance(g, source, weight).where("dist is not null")
     tree = cut(predecessors(g, dist, weight))
-    spark, at, path = g.edges.sparkSession, target, []
-    row = tree.where(F.col("id") == at).first()
-    while row is not None:
-        path.append((at, row["eid"]))
-        if row["pred"] == at:
+    path = cut(tree.where(F.col("id") == target).select("id", F.lit(0).cast("long").alias("hops")))
+    up, far = tree.select("id", F.col("pred").alias("to")), 1
+    while True:
+        more = path.join(up, "id").where("to <> id").select(F.col("to").alias("id"), (F.col("hops") + far).alias("hops"))
+        new = cut(path.unionByName(more).groupBy("id").agg(F.min("hops").alias("hops")))
+        if new.count() == path.count():
             break
-        at = row["pred"]
-        row = tree.where(F.col("id") == at).first()
-    path = path[::-1] if path and path[-1][0] == source else []
-    return spark.createDataFrame([(n, v, e) for n, (v, e) in enumerate(path)], "step long, id long, eid long")
+        path, far = new, 2 * far
+        up = cut(up.join(up.toDF("to", "next"), "to").select("id", F.col("next").alias("to")))
+    whole = path.agg(F.max("hops").alias("last"))
+    return path.join(F.broadcast(whole)).join(tree, "id").select((F.col("last") - F.col("hops")).alias("step"), "id", "eid")
 
 
 def pseudo_diameter(g: Graph, source: int, weight: str | None = None) -> tuple[float, int, int]:

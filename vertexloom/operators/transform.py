@@ -264,14 +264,16 @@ def coarse(g: Graph, method: str = "matching", weight: str | None = None, seed:
 
 
 def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: str | None = None, seed: int = 0) -> list[tuple[Graph, DataFrame]]:
-    """Coarser and coarser graphs, until ``least`` vertices are left or nothing merges."""
+    """Coarser and coarser graphs, until ``least`` vertices are left or a level merges less than a tenth of them, as it
+    does where a matching meets stars."""
     out, n = [], g.num_vertices()
     while n > least:
         smaller, blocks = coarse(g, method, weight if not out else "count", seed + len(out))
         m = smaller.num_vertices()
-        if m == n:
+        if m < n:
+            out.append((smaller, blocks))
+        if m > 0.9 * n:
             break
-        out.append((smaller, blocks))
         g, n = smaller, m
     return out
 

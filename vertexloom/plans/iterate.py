@@ -3,17 +3,73 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to spark.checkpoint.dir (a folder of our own where it is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+#: Of an estimated size in bytes, as a number of bits.
+ABSURD_BITS = 192
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own if all runs in one process, as in tests."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vertexloom-"))
-    return df.checkpoint()
+        if not known and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="vertexloom-"))
+    return known or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, by a checkpoint.
+
+    A checkpoint hands its plan's estimated size on, and loops over joins multiply that until planning stands still. Once it
+    is absurd, ``df`` is written as a table instead, whose size Spark knows.
+    """
+    folder = shared_dir(df.sparkSession)
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < ABSURD_BITS:
+        return df.checkpoint()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in partitions by ``keys``, checkpointed: joins on them don't shuffle it again."""
+    shared_dir(df.sparkSession)
+    return df.repartition(*keys).checkpoint()
+
+
+class Rows:
+    """Rows that rounds find one after the other. Each round's are written once, and parts are merged in groups of ``many``, so
+    that a row is written a number of times that grows as the logarithm of the rounds."""
+
+    def __init__(self, many: int = 16):
+        self.many, self.levels = many, [[]]
+
+    def add(self, df: DataFrame) -> None:
+        self.levels[0].append(cut(df))
+        for k, parts in enumerate(self.levels):
+            if len(parts) == self.many:
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(cut(union(parts)))
+                parts.clear()
+
+    def all(self) -> DataFrame | None:
+        parts = [p for level in self.levels for p in level]
+        return union(parts) if parts else None
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], delta: Callable[[DataFrame, DataFrame], float], epsilon: float = 0.0, max_iter: int | None = None, every: int = 5) -> tuple[DataFrame, int]:

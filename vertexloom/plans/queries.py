@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.functions import special
 from vertexloom.graph import Graph
 from vertexloom.operators import centrality, clustering, community, components, correlations, degree, flow, layout, paths, spectral, stats, transform
-from vertexloom.plans.testgraphs import POINTS, SIMPLE, SPARSE, SUPPLY, TREE, USERS, points, simple_users, sparse_users, supply, table, tree, users
+from vertexloom.plans.testgraphs import POINTS, SIMPLE, SUPPLY, TREE, USERS, VISITS, points, simple_users, supply, table, tree, users, visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,15 +53,15 @@ for _op in ("sum", "min", "max"):
     query(f"with {USERS} select v.id, round(coalesce({_op}(e.w), 0), 6) as value from v left join e on e.src = v.id group by v.id", f"incident_{_op}")(lambda s, d, o=_op: rounded(degree.incident(users(s, d), o, "w"), "value"))
 
 
-@query(f"with {SPARSE}, x as (select *, 1 + (eid % 3) as f from t) select v.id, round(coalesce(product(x.f), 0), 6) as value from v left join x on x.dst = v.id group by v.id")
+@query(f"with {VISITS}, x as (select *, 1 + (eid % 3) as f from t) select v.id, round(coalesce(product(x.f), 0), 6) as value from v left join x on x.dst = v.id group by v.id")
 def incident_prod(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     return rounded(degree.incident(g.with_edges(g.edges.withColumn("f", 1 + F.col("eid") % 3)), "prod", "f", "in"), "value")
 
 
-@query(f"with {SPARSE}, c as (select dst as id, min(v.id) as m from t join v on v.id = t.src where v.block in (1, 2) group by dst) select v.id, coalesce(c.m % 5, v.block) as block from v left join c using (id)")
+@query(f"with {VISITS}, c as (select dst as id, min(v.id) as m from t join v on v.id = t.src where v.block in (1, 2) group by dst) select v.id, coalesce(c.m % 5, v.block) as block from v left join c using (id)")
 def infect_property(s, d):
-    return degree.infect(sparse_users(s, d), "block", [1, 2])
+    return degree.infect(visits(s, d), "block", [1, 2])
 
 
 @query(f"with {USERS} select id, events from v where events between 40 and 80")
@@ -111,7 +113,7 @@ def continuous_map(s, d):
     return degree.continuous(users(s, d).vertices, "events", "code").select("id", "code")
 
 
-@query(f"with {USERS}, k as (select src as id, count(*) as n from e group by 1), r as (select min(n) as a, max(n) as b from k) select id, round(1 + 4 * pow((n - a)::double / (b - a), 1.5), 6) as size from k, r")
+@query(f"with {USERS}, k as (select src as id, count(*) as n from e group by 1), r as (select min(n) as a, max(n) as b from k) select id, round(1 + 4 * pow((n - a)::double / (b - a), 0.5), 6) as size from k, r")
 def prop_to_size(s, d):
     g = users(s, d)
     return rounded(degree.to_size(g.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")), "n", 1.0, 5.0).select("id", "size"), "size")
@@ -261,7 +263,7 @@ def triangle_count(s, d):
     return clustering.triangles(users(s, d)).agg(F.count(F.lit(1)).alias("triangles"))
 
 
-_EXT = SPARSE + """, st as (select src as v, dst as s from b), d1 as (select st.v, st.s, b.dst as x from st join b on b.src = st.s where b.dst <> st.v and b.dst <> st.s group by all),
+_EXT = VISITS + """, st as (select src as v, dst as s from b), d1 as (select st.v, st.s, b.dst as x from st join b on b.src = st.s where b.dst <> st.v and b.dst <> st.s group by all),
 d2 as (select d1.v, d1.s, b.dst as x from d1 join b on b.src = d1.x where b.dst <> d1.v and b.dst <> d1.s and not exists (select 1 from d1 o where o.v = d1.v and o.s = d1.s and o.x = b.dst) group by all),
 k as (select v, count(*) * (count(*) - 1) as n from st group by v), h as (select 1 as depth, * from d1 union all select 2, * from d2), c as (select h.depth, h.v, count(*) as c from h join st on st.v = h.v and st.s = h.x group by 1, 2),
 g as (select v.id, unnest([1, 2]) as depth from v)"""
@@ -269,7 +271,7 @@ g as (select v.id, unnest([1, 2]) as depth from v)"""
 
 @query(f"with {_EXT} select g.id, g.depth::int as depth, round(case when k.n > 0 then coalesce(c.c, 0) / k.n else 0 end, 6) as clustering from g left join k on k.v = g.id left join c on c.v = g.id and c.depth = g.depth")
 def extended_clustering(s, d):
-    return rounded(clustering.extended_clustering(sparse_users(s, d).as_undirected(), 2), "clustering")
+    return rounded(clustering.extended_clustering(visits(s, d).as_undirected(), 2), "clustering")
 
 
 @query(f"with {_TRI}, w as (select sum(n) as n from lc), t as (select count(*) as t from tri) select * from (select 3::bigint as motif, (w.n - 3 * t.t)::bigint as count from w, t union all select 7, t.t from t) where count > 0")
@@ -277,19 +279,27 @@ def motifs3(s, d):
     return clustering.motifs(simple_users(s, d), 3)
 
 
-@query()
+# Connected sets of four by their numbers of edges and largest degrees; the numbers of the motifs are their least bit sets.
+_MOTIFS4 = VISITS + """, s3 as (select distinct list_sort([a.src, a.dst, c.dst]) as s from b a join b c on c.src = a.dst where a.src < a.dst and c.dst <> a.src
+union select distinct list_sort([a.src, a.dst, c.dst]) from b a join b c on c.src = a.src where a.src < a.dst and c.dst <> a.dst),
+s4 as (select distinct list_sort(list_append(s, b.dst)) as s from (select s, unnest(s) as x from s3) join b on b.src = x where not list_contains(s, b.dst)),
+m4 as (select s, unnest(s) as x from s4), k4 as (select s, x, (select count(*) from b where b.src = x and list_contains(s, b.dst)) as k from m4),
+f4 as (select s, sum(k) / 2 as e, max(k) as k from k4 group by s)"""
+
+
+@query(f"with {_MOTIFS4} select case when e = 3 and k = 3 then 7 when e = 3 then 13 when e = 4 and k = 3 then 15 when e = 4 then 30 when e = 5 then 31 else 63 end::bigint as motif, count(*) as count from f4 group by 1")
 def motifs4(s, d):
-    return clustering.motifs(sparse_users(s, d).as_undirected(), 4)
+    return clustering.motifs(visits(s, d).as_undirected(), 4)
 
 
-@query(f"with {SPARSE} select a.src as v0, a.dst as v1, c.dst as v2 from p a join p c on c.src = a.dst where a.src <> c.dst")
+@query(f"with {VISITS} select a.src as v0, a.dst as v1, c.dst as v2 from p a join p c on c.src = a.dst where a.src <> c.dst")
 def subgraph_path(s, d):
-    return clustering.pattern_matches(stats.remove_self_loops(sparse_users(s, d)), [(0, 1), (1, 2)])
+    return clustering.pattern_matches(stats.remove_self_loops(visits(s, d)), [(0, 1), (1, 2)])
 
 
-@query(f"with {SPARSE} select a.src as v0, a.dst as v1, c.dst as v2 from b a join b c on c.src = a.dst where a.src <> c.dst and not exists (select 1 from b x where x.src = a.src and x.dst = c.dst)")
+@query(f"with {VISITS} select a.src as v0, a.dst as v1, c.dst as v2 from b a join b c on c.src = a.dst where a.src <> c.dst and not exists (select 1 from b x where x.src = a.src and x.dst = c.dst)")
 def subgraph_path_induced(s, d):
-    return clustering.pattern_matches(sparse_users(s, d).as_undirected(), [(0, 1), (1, 2)], induced=True)
+    return clustering.pattern_matches(visits(s, d).as_undirected(), [(0, 1), (1, 2)], induced=True)
 
 
 # Matrices
@@ -380,16 +390,20 @@ def eigentrust8(s, d):
     return rounded(centrality.eigentrust(users(s, d), "w", False, 0, 8), "trust", places=8)
 
 
-@query()
+_AVOID = VISITS + """, m as (select min(id) as id from v), c as (select src, dst, 1 / (1 + min(w)) as c from t where src <> dst group by 1, 2),
+r0 as (select v.id as d, m.id as id, 1.0::double as x from v, m where v.id <> m.id and v.id // 1000000000 = m.id // 1000000000), """ + _steps(16, lambda k: f"select d, id, max(x) as x from (select d, id, x from r{k - 1} union all select r.d, c.dst, r.x * c.c from r{k - 1} r join c on c.src = r.id where c.dst <> r.d) group by d, id")
+
+
+@query(f"with {_AVOID}, z as (select t.dst as id, sum(r.x * r.x / (1 + t.w)) / sum(r.x) as z from t join r16 r on r.d = t.dst and r.id = t.src where t.src <> t.dst group by 1) select v.id, round(case when v.id = m.id then 1 else coalesce(z.z, 0) end, 6) as trust from v cross join m left join z on z.id = v.id")
 def trust_transitivity(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     g = g.with_edges(g.edges.withColumn("t", 1 / (1 + F.col("w"))))
     return rounded(centrality.trust_transitivity(g, "t", g.vertices.agg(F.min("id")).first()[0]), "trust")
 
 
 # Paths. The graph is sparse so that distances vary; SQL recursion is bounded by what has been reached.
 
-_BFS = SPARSE + ", m as (select min(src) as id from p)"
+_BFS = VISITS + ", m as (select min(src) as id from p)"
 _REC = "bfs(id, dist) as (select id, 0 from m union select b.dst, bfs.dist + 1 from bfs join {a} b on b.src = bfs.id where bfs.dist < {n})"
 
 
@@ -399,31 +413,31 @@ def _first(g: Graph) -> int:
 
 @query("with recursive " + _BFS + ", " + _REC.format(a="p", n=24) + ", f as (select id, min(dist)::double as dist from bfs group by id) select v.id, f.dist from v left join f using (id)")
 def bfs_distance(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     return paths.shortest_distance(g, _first(g))
 
 
-_ALL = SPARSE + ", d(root, id, dist) as (select id, id, 0 from v union select d.root, b.dst, d.dist + 1 from d join b on b.src = d.id where d.dist < 40), dd as (select root, id, min(dist)::double as dist from d group by 1, 2)"
+_ALL = VISITS + ", d(root, id, dist) as (select id, id, 0 from v union select d.root, b.dst, d.dist + 1 from d join b on b.src = d.id where d.dist < 16), dd as (select root, id, min(dist)::double as dist from d group by 1, 2)"
 
 
 @query("with recursive " + _ALL + " select root, id, dist from dd")
 def all_distances(s, d):
-    return paths.all_distances(sparse_users(s, d).as_undirected())
+    return paths.all_distances(visits(s, d).as_undirected())
 
 
 @query("with recursive " + _ALL + ", h as (select floor(dist)::bigint as b, count(*) as n from dd where root <> id group by 1), r as (select unnest(generate_series(0, (select max(b) from h))) as b) select r.b::double as bin_left, coalesce(h.n, 0) as count from r left join h using (b)")
 def distance_histogram(s, d):
-    return paths.distance_histogram(sparse_users(s, d).as_undirected(), [0.0, 1.0])
+    return paths.distance_histogram(visits(s, d).as_undirected(), [0.0, 1.0])
 
 
 @query("with recursive " + _ALL + " select root as id, round(sum(case when id <> root then 1 else 0 end) / sum(case when id <> root then dist end), 6) as closeness from dd group by root")
 def closeness(s, d):
-    return rounded(paths.closeness(sparse_users(s, d).as_undirected()), "closeness")
+    return rounded(paths.closeness(visits(s, d).as_undirected()), "closeness")
 
 
 @query("with recursive " + _ALL + " select root as id, round(coalesce(sum(case when id <> root then 1 / dist end), 0) / ((select count(*) from v) - 1), 6) as closeness from dd group by root")
 def closeness_harmonic(s, d):
-    return rounded(paths.closeness(sparse_users(s, d).as_undirected(), harmonic=True), "closeness")
+    return rounded(paths.closeness(visits(s, d).as_undirected(), harmonic=True), "closeness")
 
 
 _W = USERS + ", q as (select src, dst, min(w) as w from (select src, dst, round(w, 2) + 1 as w from e union all select dst, src, round(w, 2) + 1 from e) where src <> dst group by 1, 2), m as (select min(id) as id from v), r0 as (select id, 0.0::double as x from m), " + _steps(12, lambda k: f"select id, min(x) as x from (select id, x from r{k - 1} union all select q.dst, r.x + q.w from r{k - 1} r join q on q.src = r.id) group by id")
@@ -454,77 +468,108 @@ def shortest_path_length(s, d):
     return rounded(path.join(g.edges.select("eid", "c"), "eid").agg(F.sum("c").alias("length")), "length")
 
 
-@query()  # the sweep's ends depend on ties; its length is a lower bound of the diameter
+_SWEEP = _ALL + ", m as (select min(src) as id from p), k as (select id, count(*) as k from (select src as id from t union all select dst from t) group by id), o as (select root, id, dist, row_number() over (partition by root order by dist desc, k, id) as n from dd join k using (id)), f0 as (select m.id as spot, -1.0::double as best from m), " + ", ".join(
+    f"f{n} as (select case when o.dist > best then o.id else spot end as spot, greatest(best, o.dist) as best from f{n - 1} join o on o.root = spot and o.n = 1)" for n in range(1, 9)
+)
+
+
+@query(f"with recursive {_W}, f as (select min(q.src) as pred, q.dst as id from q join r12 a on a.id = q.src join r12 z on z.id = q.dst where abs(a.x + q.w - z.x) < 1e-9 group by q.dst), go(id, n) as (select max(id), 0 from v union all select f.pred, n + 1 from go join f using (id)) select id, (select max(n) from go) - n as step from go")
+def shortest_path(s, d):
+    g, first = _weighted(s, d)
+    return paths.shortest_path(g, first, g.vertices.agg(F.max("id")).first()[0], "c").select("step", "id")
+
+
+@query("with recursive " + _SWEEP + " select best as length from f8")
 def pseudo_diameter(s, d):
-    g = sparse_users(s, d).as_undirected()
+    g = visits(s, d).as_undirected()
     length, a, b = paths.pseudo_diameter(g, _first(g))
     return s.createDataFrame([(length,)], "length double")
 
 
-@query()
+_DEPTH = 16
+_SIGMA = _ALL + """, m as (select src, dst, count(*) as c from (select src, dst from t union all select dst, src from t) where src <> dst group by 1, 2),
+g0 as (select id as root, id, 1.0::double as s from v), """ + ", ".join(f"g{k} as (select g.root, m.dst as id, sum(g.s * m.c) as s from g{k - 1} g join m on m.src = g.id join dd on dd.root = g.root and dd.id = m.dst and dd.dist = {k} group by 1, 2)" for k in range(1, _DEPTH)) + ", g as (select g.root, g.id, g.s, dd.dist from (" + " union all ".join(f"select * from g{k}" for k in range(_DEPTH)) + ") g join dd using (root, id))"
+#: Over all pairs: the paths of least length through a vertex, over all of them.
+_BETWEEN = _SIGMA + ", w as (select a.id, sum(a.s * c.s / z.s) as b from g a join g c on c.root = a.id join g z on z.root = a.root and z.id = c.id and z.dist = a.dist + c.dist where a.dist > 0 and c.dist > 0 group by a.id), n as (select count(*)::double as n from v), bt as (select v.id, coalesce(b, 0) / ((n - 1) * (n - 2)) as betweenness from v cross join n left join w using (id))"
+_EDGES_BETWEEN = _SIGMA + ", w as (select y.src, y.dst, sum(a.s * c.s / z.s) as b from g a join m y on y.src = a.id join g h on h.root = a.root and h.id = y.dst and h.dist = a.dist + 1 join g c on c.root = y.dst join g z on z.root = a.root and z.id = c.id and z.dist = h.dist + c.dist group by 1, 2), n as (select count(*)::double as n from v)"
+
+
+@query("with recursive " + _BETWEEN + " select id, round(betweenness, 6) as betweenness from bt")
 def betweenness(s, d):
-    return rounded(paths.betweenness(sparse_users(s, d).as_undirected())[0], "betweenness")
+    return rounded(paths.betweenness(visits(s, d).as_undirected())[0], "betweenness")
 
 
-@query()
+@query("with recursive " + _EDGES_BETWEEN + " select t.eid, round((coalesce(x.b, 0) + coalesce(y.b, 0)) / (n * (n - 1)), 6) as betweenness from t cross join n left join w x on x.src = t.src and x.dst = t.dst left join w y on y.src = t.dst and y.dst = t.src")
 def edge_betweenness(s, d):
-    return rounded(paths.betweenness(sparse_users(s, d).as_undirected())[1], "betweenness")
+    return rounded(paths.betweenness(visits(s, d).as_undirected())[1], "betweenness")
 
 
-@query()
+@query("with recursive " + _BETWEEN + " select round((max(betweenness) * count(*) - sum(betweenness)) / (count(*) - 1), 6) as dominance from bt")
 def central_point_dominance(s, d):
-    return rounded(centrality.central_point_dominance(paths.betweenness(sparse_users(s, d).as_undirected())[0]), "dominance")
+    return rounded(centrality.central_point_dominance(paths.betweenness(visits(s, d).as_undirected())[0]), "dominance")
 
 
-@query()
+@query("with recursive " + _BFS + ", " + _REC.format(a="p", n=24) + ", f as (select id, min(dist)::double as dist from bfs group by id), q as (select f.id, f.dist, coalesce(min(h.id), f.id) as pred from f left join p on p.dst = f.id left join f h on h.id = p.src and h.dist + 1 = f.dist group by 1, 2) select id, dist, pred, row_number() over (order by dist, pred, id) - 1 as \"order\" from q")
 def bfs_search(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     return paths.bfs_order(g, _first(g))
 
 
 # Components, cores, trees
 
-_CC = SPARSE + ", c(root, id) as (select id, id from v union select c.root, b.dst from c join b on b.src = c.id)"
+_CC = VISITS + ", c(root, id) as (select id, id from v union select c.root, b.dst from c join b on b.src = c.id)"
 
 
 @query("with recursive " + _CC + " select id, min(root) as label from c group by id")
 def weak_components(s, d):
-    return components.weak_components(sparse_users(s, d))
+    return components.weak_components(visits(s, d))
 
 
-_SCC = SPARSE + ", c(root, id) as (select id, id from v union select c.root, p.dst from c join p on p.src = c.id)"
+_SCC = VISITS + ", c(root, id) as (select id, id from v union select c.root, p.dst from c join p on p.src = c.id)"
 
 
 @query("with recursive " + _SCC + " select x.id, min(x.root) as label from c x join c y on y.root = x.id and y.id = x.root group by x.id")
 def strong_components(s, d):
-    return components.strong_components(sparse_users(s, d))
+    return components.strong_components(visits(s, d))
+
+
+@query("with recursive " + _SCC + " select x.id, min(x.root) as label from c x join c y on y.root = x.id and y.id = x.root group by x.id")
+def strong_components_rounds(s, d):
+    """As large graphs are labelled, in rounds over DataFrames."""
+    return components.strong_components(visits(s, d), at_most=0)
 
 
 @query("with recursive " + _SCC + ", l as (select x.id, min(x.root) as label from c x join c y on y.root = x.id and y.id = x.root group by x.id) select label, not exists (select 1 from p join l a on a.id = p.src join l b on b.id = p.dst where a.label = o.label and b.label <> o.label) as is_attractor from (select distinct label from l) o")
 def attractors(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     return components.attractors(g, components.strong_components(g))
 
 
 @query("with recursive " + _CC + ", l as (select id, min(root) as label from c group by id), z as (select label, count(*) as n from l group by label order by n desc, label limit 1) select l.id, l.label = z.label as in_largest from l, z")
 def largest_component(s, d):
-    return components.largest_component(sparse_users(s, d), False)
+    return components.largest_component(visits(s, d), False)
 
 
 @query("with recursive " + _BFS + ", o(id) as (select id from m union select p.dst from o join p on p.src = o.id) select v.id, v.id in (select id from o) as reachable from v")
 def out_component(s, d):
-    g = sparse_users(s, d)
+    g = visits(s, d)
     return components.out_component(g, _first(g))
 
 
-@query()
+#: Core numbers are what is left of the degrees when each becomes the H-index of its neighbours', again and again.
+_CORE = SIMPLE + ", c0 as (select v.id, count(u.src) as h from v left join u on u.src = v.id group by v.id), " + ", ".join(
+    f"c{n} as (select v.id, coalesce(max(least(r, h)), 0) as h from v left join (select u.src as id, c.h, row_number() over (partition by u.src order by c.h desc) as r from u join c{n - 1} c on c.id = u.dst) x using (id) group by v.id)" for n in range(1, 31)
+)
+
+
+@query(f"with {_CORE} select id, h::bigint as core from c30")
 def kcore(s, d):
     return components.kcore(simple_users(s, d))
 
 
 @query("with recursive " + _SCC.replace("select id, id from v union select c.root, p.dst", "select src, dst from p union select c.root, p.dst") + " select root as src, id as dst from c")
 def transitive_closure(s, d):
-    return components.transitive_closure(stats.remove_self_loops(sparse_users(s, d)))
+    return components.transitive_closure(stats.remove_self_loops(visits(s, d)))
 
 
 @query(f"with {TREE} select id, case when id < 1000 then 0 when id < 1000000 then 1 else 2 end as level from v")
@@ -550,7 +595,13 @@ def spanning_forest_tree(s, d):
     return components.min_spanning_forest(tree(s, d)).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query()
+#: An edge is in the tree if no path joins its ends by lighter ones: paths by their heaviest edge, doubled in length.
+_HEAVIEST = SIMPLE + ", z as (select *, row_number() over (order by w, eid) as r from s), h0 as (select src as i, dst as j, r from z union all select dst, src, r from z union all select id, id, 0 from v), " + ", ".join(
+    f"h{n} as (select a.i, c.j, min(greatest(a.r, c.r)) as r from h{n - 1} a join h{n - 1} c on c.i = a.j group by 1, 2)" for n in range(1, 9)
+)
+
+
+@query(f"with {_HEAVIEST} select z.eid, z.src, z.dst, round(z.w, 6) as w from z join h8 on h8.i = z.src and h8.j = z.dst and h8.r = z.r")
 def min_spanning_tree(s, d):
     g = simple_users(s, d)
     return rounded(components.min_spanning_forest(g, "w").join(g.edges, "eid").select("eid", "src", "dst", "w"), "w")
@@ -567,39 +618,41 @@ def similarity(s, d):
     return rounded(components.similarity(g.view(edge=F.col("label") != "view"), g.view(edge=F.col("label") != "click")), "similarity")
 
 
-@query(f"with {SPARSE} select true as independent, true as maximal")
+@query(f"with {VISITS} select id, true as in_or_beside, false as both from v")
 def max_independent_set(s, d):
-    g = sparse_users(s, d).as_undirected().simple()
+    """Of each vertex whether it is in the set or beside one that is, and whether both."""
+    g = visits(s, d).as_undirected().simple()
     chosen = components.cut(components.independent_set(g))
-    a = g.adjacency
-    bad = a.join(chosen.toDF("src"), "src", "left_semi").join(chosen.toDF("dst"), "dst", "left_semi").isEmpty()
-    covered = chosen.union(a.join(chosen.toDF("src"), "src", "left_semi").select("dst")).distinct().count()
-    return s.createDataFrame([(bad, covered == g.num_vertices())], "independent boolean, maximal boolean")
+    beside = g.adjacency.join(chosen.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().withColumn("beside", F.lit(True))
+    known = g.vertices.select("id").join(chosen.withColumn("inside", F.lit(True)), "id", "left").join(beside, "id", "left").na.fill(False)
+    return known.select("id", (F.col("inside") | F.col("beside")).alias("in_or_beside"), (F.col("inside") & F.col("beside")).alias("both"))
 
 
-@query("select true as proper, true as whole")
+@query(f"with {VISITS} select v.id, count(b.dst) as unlike, true as no_gap from v left join b on b.src = v.id group by v.id")
 def vertex_coloring(s, d):
-    g = sparse_users(s, d).as_undirected().simple()
+    """Of each vertex the number of neighbours in another colour, and whether every smaller colour is among theirs."""
+    g = visits(s, d).as_undirected().simple()
     c = components.cut(components.colouring(g))
-    bad = g.edges.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a = b").isEmpty()
-    return s.createDataFrame([(bad, c.count() == g.num_vertices())], "proper boolean, whole boolean")
+    near = g.adjacency.join(c.toDF("src", "own"), "src").join(c.toDF("dst", "other"), "dst")
+    seen = near.groupBy(F.col("src").alias("id")).agg(F.count(F.when(F.col("own") != F.col("other"), 1)).alias("unlike"), F.count_distinct(F.when(F.col("other") < F.col("own"), F.col("other"))).alias("less"))
+    return c.join(seen, "id", "left").na.fill(0).select("id", "unlike", (F.col("less") == F.col("color")).alias("no_gap"))
 
 
-@query("select true as disjoint, true as maximal")
+@query(f"with recursive {VISITS}, o as (select eid, src, dst, row_number() over (order by w - eid * 1e-7 desc) as r from t where src <> dst), n as (select max(r) as n from o), "
+    "go(r, ends, eids) as (select 0::bigint, []::bigint[], []::bigint[] union all select o.r, case when list_contains(ends, src) or list_contains(ends, dst) then ends else list_concat(ends, [src, dst]) end, "
+    "case when list_contains(ends, src) or list_contains(ends, dst) then eids else list_append(eids, eid) end from go join o on o.r = go.r + 1) select unnest(eids) as eid from go where r = (select n from n)")
 def greedy_matching(s, d):
-    g = sparse_users(s, d)
-    m = components.cut(components.greedy_matching(g, "w"))
-    ends = components.cut(g.edges.join(m, "eid", "left_semi").select(F.explode(F.array("src", "dst")).alias("id")))
-    free = g.edges.where("src <> dst").join(ends.toDF("src"), "src", "left_anti").join(ends.toDF("dst"), "dst", "left_anti").isEmpty()
-    return s.createDataFrame([(ends.count() == ends.distinct().count(), free)], "disjoint boolean, maximal boolean")
+    """Edges by falling weight, each taken if its ends are free; rounds over DataFrames come to the same set."""
+    g = visits(s, d)
+    return components.greedy_matching(g.with_edges(g.edges.withColumn("u", F.col("w") - F.col("eid") * 1e-7)), "u")  # no ties
 
 
 # Transforms and generators
 
 
-@query(f"with {SPARSE} select a.eid as src, b.eid as dst from t a join t b on b.src = a.dst")
+@query(f"with {VISITS} select a.eid as src, b.eid as dst from t a join t b on b.src = a.dst")
 def line_graph(s, d):
-    return transform.line_graph(sparse_users(s, d)).edges.select("src", "dst")
+    return transform.line_graph(visits(s, d)).edges.select("src", "dst")
 
 
 @query(f"with {USERS}, m as (select max(id) + 1 as o from v), x as (select max(eid) + 1 as o from e) select eid, src, dst from e union all select e.eid + x.o, e.src + m.o, e.dst + m.o from e, m, x")
@@ -629,9 +682,9 @@ def graph_copy_ordered(s, d):
     return transform.copy(users(s, d), order="id").edges.select("eid", "src", "dst")
 
 
-@query(f"with {SPARSE} select 2 * eid as id, src as node from t union all select 2 * eid + 1, dst from t")
+@query(f"with {VISITS} select 2 * eid as id, src as node from t union all select 2 * eid + 1, dst from t")
 def half_edge_graph(s, d):
-    return transform.half_edges(sparse_users(s, d)).vertices
+    return transform.half_edges(visits(s, d)).vertices
 
 
 @query("select i as src, i + 1 as dst from range(600) t(i) where i % 10 < 9 union all select i, i + 10 from range(600) t(i) where (i // 10) % 10 < 9 union all select i, i + 100 from range(600) t(i) where i < 500")
@@ -709,7 +762,7 @@ def majority_blocks(s, d):
 
 @query()
 def label_propagation(s, d):
-    return community.label_propagation(sparse_users(s, d), 6)
+    return community.label_propagation(visits(s, d), 6)
 
 
 # Samples, coarse graphs, block rewiring and the local kernels
@@ -717,7 +770,7 @@ def label_propagation(s, d):
 
 @query()
 def motif_significance(s, d):
-    return rounded(clustering.motif_significance(stats.remove_self_loops(sparse_users(s, d)), 3, 2), "mean", "std_dev", "z")
+    return rounded(clustering.motif_significance(stats.remove_self_loops(visits(s, d)), 3, 2), "mean", "std_dev", "z")
 
 
 def _block_weights(g: Graph) -> DataFrame:
@@ -739,20 +792,20 @@ def rewire_blocks(s, d):
     return made.edges.agg(F.count(F.lit(1)).alias("edges"), F.sum("eid").alias("eids"))
 
 
-@query(f"with {SPARSE} select count(*)::double as merged from v")
+@query(f"with {VISITS} select count(*)::double as merged from v")
 def coarse_graph(s, d):
-    return transform.coarse(sparse_users(s, d), "independent")[0].vertices.agg(F.sum("count").alias("merged"))
+    return transform.coarse(visits(s, d), "independent")[0].vertices.agg(F.sum("count").alias("merged"))
 
 
-@query(f"with {SPARSE} select count(*)::double as merged from v")
+@query(f"with {VISITS} select count(*)::double as merged from v")
 def coarse_stack(s, d):
-    return transform.coarse_stack(sparse_users(s, d))[-1][0].vertices.agg(F.sum("count").alias("merged"))
+    return transform.coarse_stack(visits(s, d))[-1][0].vertices.agg(F.sum("count").alias("merged"))
 
 
 @query("select true as balanced")
 def max_flow(s, d):
     """The flow's value is the capacity of the cut that it leaves."""
-    g = stats.remove_self_loops(sparse_users(s, d))
+    g = stats.remove_self_loops(visits(s, d))
     source = _first(g)
     target = paths.shortest_distance(g, source).where("dist > 0").orderBy(F.desc("dist"), "id").first()["id"]
     value, residual = flow.max_flow(g, source, target, "w")
@@ -783,12 +836,12 @@ def lattice_matching(s, d):
 
 @query()
 def arf_layout(s, d):
-    return rounded(layout.arf_layout(sparse_users(s, d), 3), "x", "y", places=3)
+    return rounded(layout.arf_layout(visits(s, d), 3), "x", "y", places=3)
 
 
 @query()
 def multilevel_layout(s, d):
-    return rounded(layout.multilevel_layout(sparse_users(s, d), 2), "x", "y", places=3)
+    return rounded(layout.multilevel_layout(visits(s, d), 2), "x", "y", places=3)
 
 
 @query(f"with {USERS} select id, count(*) as n from (select src as id from e union all select dst from e) group by id having count(*) > 0")
@@ -797,3 +850,11 @@ def overlap_memberships(s, d):
     g = users(s, d)
     h = transform.half_edges(g).vertices.select("node", (F.col("id") % 3).alias("block"))
     return community.overlap_sets(h).select(F.col("node").alias("id"), F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
+
+
+# Closed forms, against the values that are documented for them
+
+
+@query("select 1572::bigint as most_blocks, round(2.414413, 5)::double as degree, 200.0::double as degree_of_many")
+def closed_forms(s, d):
+    return s.createDataFrame([(special.max_blocks(1e6, 5e6), round(special.average_degree_limit(10, math.log(10) / 100, 100), 5), special.average_degree_limit(10, math.log(10) / 100))], "most_blocks long, degree double, degree_of_many double")

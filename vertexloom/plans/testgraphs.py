@@ -9,6 +9,10 @@ from vertexloom.functions.ordering import following
 from vertexloom.graph import Graph
 
 
+#: Vertex numbers of a day lie above those of the days before it.
+DAY = 1_000_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,15 +42,21 @@ s as (select least(src, dst) as src, greatest(src, dst) as dst, min(eid) as eid,
 u as (select src, dst, eid, w from s union all select dst, src, eid, w from s)"""
 
 
-def sparse_users(spark: SparkSession, sf_dir: str) -> Graph:
-    """The edges of one in 64 event ids, on all users: directed, sparse, with several components."""
-    g = users(spark, sf_dir)
-    return Graph(g.vertices, g.edges.where("eid % 64 = 3"), True)
+def visits(spark: SparkSession, sf_dir: str) -> Graph:
+    """Directed, sparse, a component for each day or more: a user's visits of a day are one vertex, and each event's visit
+    leads to that of the day's next event."""
+    ev = table(spark, sf_dir, "events").withColumn("visit", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long") * DAY + F.col("user_id"))
+    led = following(ev.select("event_id", "visit", "ts", "value", "event_type"), ["ts", "event_id"], "visit", "dst")
+    same_day = F.floor(F.col("visit") / DAY) == F.floor(F.col("dst") / DAY)
+    edges = led.where(same_day).select(F.col("event_id").alias("eid"), F.col("visit").alias("src"), "dst", F.col("value").alias("w"), F.col("event_type").alias("label"))
+    vertices = ev.groupBy(F.col("visit").alias("id"), (F.col("user_id") % 5).alias("block")).agg(F.sum("value").alias("score"), F.count(F.lit(1)).alias("events"))
+    return Graph(vertices.select("id", "score", "events", "block"), edges, True)
 
 
-#: The rule makes a graph of another shape, as a filtered view does; it reads the whole table.
-SPARSE = USERS + """,
-t as (select * from e where eid % 64 = 3),
+VISITS = f"""seen as (select *, datediff('day', date '2024-01-01', ts::date) * {DAY} + user_id as visit from events),
+ev as (select event_id as eid, visit as src, lead(visit) over (partition by ts::date order by ts, event_id) as dst, value as w, event_type as label from seen),
+t as (select * from ev where dst is not null),
+v as (select visit as id, sum(value) as score, count(*) as events, user_id % 5 as block from seen group by visit, user_id),
 p as (select distinct src, dst from t where src <> dst),
 b as (select src, dst from p union select dst, src from p)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from vertexloom.graph import Graph
 from vertexloom.plans import testgraphs
 
-NAMES = {"users": testgraphs.users, "simple_users": testgraphs.simple_users, "sparse_users": testgraphs.sparse_users, "supply": testgraphs.supply, "tree": testgraphs.tree}
+NAMES = {"users": testgraphs.users, "simple_users": testgraphs.simple_users, "visits": testgraphs.visits, "supply": testgraphs.supply, "tree": testgraphs.tree}
 
 DESCRIPTIONS = {name: f.__doc__.strip().splitlines()[0] for name, f in NAMES.items()}
 
