@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents are decoded in slices of so many rows and about so many bytes, whatever the Arrow batch.
 SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 LAST_ID = (1 << 63) - 1
+#: Of an estimated size in bytes, as a number of bits.
+ABSURD_BITS = 192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint: lost executors cost a reread, and no branch computes ``df`` twice."""
+    """Cut the lineage by a reliable checkpoint: lost executors cost a reread, and no branch computes ``df`` twice.
+
+    A checkpoint hands on its plan's estimated size, which loops over joins multiply until planning stands still; once it is
+    absurd, ``df`` is written as a table instead.
+    """
     spark = df.sparkSession
     shared_dir(spark)
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() > ABSURD_BITS:
+        return written(df)
     out = df.checkpoint()
     del df  # its plan holds the shuffles
     release(spark)
