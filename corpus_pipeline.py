@@ -43,10 +43,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's rows are deleted once the next
+    ones are written."""
     docs, top = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done is not None:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        done = path
     return docs
