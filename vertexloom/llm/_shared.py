@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 #: Words: everything between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents are decoded in slices of so many rows and about so many bytes, whatever the Arrow batch.
-SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 19
 LAST_ID = (1 << 63) - 1
 #: Of an estimated size in bytes, as a number of bits.
 ABSURD_BITS = 192

@@ -163,11 +163,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
                 np.add.at(edge, np.clip(places - (window - block), 0, n), 1)
                 np.add.at(edge, np.clip(places + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                stream, begins = b" ".join(words), ends - [len(w) + 1 for w in words]
-                found += [xxhash.xxh3_128_digest(stream[i:j]) for i, j in zip(begins[at].tolist(), (ends[at + window - 1] - 1).tolist(), strict=True)]
+                stream, begins = b" ".join(words), np.concatenate([[0], ends[:-1]])
+                names = b"".join([xxhash.xxh3_128_digest(stream[i:j]) for i, j in zip(begins[at].tolist(), (ends[at + window - 1] - 1).tolist(), strict=True)])
+                found.append(np.frombuffer(names, "<i8").reshape(-1, 2))
                 rows.append(np.full(len(at), k))
                 starts.append(at)
-            rows, names = np.concatenate(rows).astype(np.int64), np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            rows, names = np.concatenate(rows).astype(np.int64), np.concatenate(found)
             yield pa.record_batch([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(batch.column(0).to_numpy()[rows]), pa.array(batch.column(1).to_numpy()[rows]), pa.array(np.concatenate(starts).astype(np.int32))], ["a", "b", "_doc", "_digest", "place"])
 
     windows = written(arrow_map(keyed.join(marks, ["_doc", "_digest"]).select("_doc", "_digest", "text", "places"), extended, "a long, b long, _doc long, _digest long, place int"))
