@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bins import Bins
-from vertexloom.functions.special import lbinom, partition_entropy
+from vertexloom.functions.special import average_degree_limit, lbinom, max_blocks, partition_entropy
 from vertexloom.graph import Graph
 from vertexloom.local import kernels
 from vertexloom.local.kernels import Local
@@ -64,6 +64,95 @@ def test_betweenness(spark, people):
     assert centrality.central_point_dominance(star).first()[0] == pytest.approx(1)
 
 
+def brute_betweenness(n, edges):
+    """Over all pairs and simple paths of an undirected graph."""
+    ways = {}
+
+    def walk(path, length):
+        ways.setdefault((path[0], path[-1]), []).append((round(length, 9), tuple(path)))
+        for a, b, w in edges:
+            for x, y in ((a, b), (b, a)):
+                if x == path[-1] and y not in path:
+                    walk([*path, y], length + w)
+
+    for v in range(n):
+        walk([v], 0.0)
+    out = [0.0] * n
+    for (s, t), found in ways.items():
+        best = [p for length, p in found if length == min(found)[0]]
+        for v in range(n):
+            if v not in (s, t):
+                out[v] += sum(v in p for p in best) / len(best)
+    return [x / ((n - 1) * (n - 2)) for x in out]
+
+
+def test_weighted_betweenness(spark):
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 2.0), (2, 3, 0.5), (1, 4, 3.0), (4, 3, 0.5), (0, 4, 4.0), (3, 5, 1.0)]
+    g = make(spark, edges, 6, False)
+    for batches in (1, 3):
+        v, e = paths.betweenness(g, weight="weight", batches=batches)
+        assert column(v, "betweenness") == pytest.approx(brute_betweenness(6, edges))
+    assert column(paths.betweenness(g, batches=2)[1], "betweenness", "eid") == pytest.approx(column(paths.betweenness(g)[1], "betweenness", "eid"))
+
+
+def test_hubs_are_split(spark):
+    edges = [(0, k) for k in range(1, 40)] + [(k, 0) for k in range(1, 40)] + [(k, k + 1) for k in range(1, 39)]
+    g = make(spark, edges, 40)
+    pairs = centrality._weighted(g, None)
+    x = g.vertices.select("id", (F.col("id") * 1.5).alias("x"))
+    for key in ("src", "dst"):
+        whole, split = (centrality.Links(pairs, key, hub).pull(x, F.col("x") * F.col("w")) for hub in (1 << 17, 7))
+        assert column(split, "got") == pytest.approx(column(whole, "got"))
+
+
+def test_numbers_within_hot_groups(spark):
+    from vertexloom.functions.ordering import numbered_within
+
+    rows = [(k, 0 if k < 700 else k % 13 if k % 17 else None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, key long").repartition(5)
+    groups = {}
+    for k, key in rows:
+        groups.setdefault(key, []).append(k)
+    want = {k: n for ids in groups.values() for n, k in enumerate(ids)}
+    assert {r["id"]: r["n"] for r in numbered_within(df, ["key"], ["id"]).collect()} == want
+
+
+def test_estimates_stay_finite(spark):
+    """A loop that joins its state with itself: each cut's estimate is a square of the one before, until it is written."""
+    from vertexloom.plans.iterate import ABSURD_BITS, Rows, cut
+
+    state = cut(spark.range(5))
+    for _ in range(12):
+        state = cut(state.join(state.select(F.col("id").alias("other")), F.col("id") <= F.col("other")).groupBy("id").agg(F.max("other")).select("id"))
+        assert int(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < ABSURD_BITS
+    assert state.count() == 5
+    rows = Rows(many=3)
+    assert rows.all() is None
+    for k in range(10):
+        rows.add(spark.range(k, k + 1))
+    assert sorted(r[0] for r in rows.all().collect()) == list(range(10)) and sum(map(len, rows.levels)) <= 4
+
+
+def test_documented_closed_forms():
+    assert max_blocks(1e6, 5e6) == 1572
+    assert average_degree_limit(10, math.log(10) / 100, 100) == pytest.approx(2.414413, abs=1e-5)
+    assert average_degree_limit(10, math.log(10) / 100) == pytest.approx(200)
+
+
+def test_refusals(spark):
+    with pytest.raises(ValueError):
+        clustering.pattern_matches(make(spark, [(0, 1)], 2), [(0, 1), (2, 3)])
+    with pytest.raises(ValueError):
+        flow.price_network(spark, 1000, at_most=10)
+
+
+def test_isomorphism_of_a_deep_graph(spark):
+    n = 1500
+    g, h = (make(spark, [(f(k), f(k + 1)) for k in range(n - 1)], n) for f in (lambda k: k, lambda k: n - 1 - k))
+    found = flow.isomorphism(g, h)
+    assert {r["id"]: r["image"] for r in found.collect()} == {k: n - 1 - k for k in range(n)}
+
+
 def test_micro_graphs(spark):
     empty = make(spark, [(0, 0)], 3).view(edge=F.lit(False))
     assert column(degree.degree(empty), "degree") == [0, 0, 0]

@@ -36,6 +36,23 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return parts.withColumn(name, row).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Dense numbers from 0 within each group of ``keys``. A group that many rows share lies in several range partitions; of
+    each partition only the groups that it shares with others, two at most, take part in the second sum."""
+    parts = _ranged(df, [*keys, *order])
+    sizes = parts.groupBy("_part", *keys).count()
+    group = Window.partitionBy(*keys)
+    shared = sizes.withColumn("_spans", F.count(F.lit(1)).over(group)).where("_spans > 1")
+    before = shared.withColumn("_before", F.sum("count").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
+    heads = before.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_before")
+    on = F.col("_part") == F.col("_p")
+    for n, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    row = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
+    out = parts.withColumn(name, row).join(F.broadcast(heads), on, "left")
+    return out.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
+
+
 def ranks(df: DataFrame, key: Column, name: str) -> DataFrame:
     """(key, name): the distinct keys with dense numbers from 0 in their order."""
     return numbered(df.select(key.alias("key")).distinct(), ["key"], name)

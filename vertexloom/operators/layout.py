@@ -20,13 +20,12 @@ def random_layout(g: Graph, side: float = 1.0, seed: int = 0) -> DataFrame:
 
 def radial_layout(g: Graph, root: int) -> DataFrame:
     """Rings by distance from the root; angles spread over each ring in id order."""
-    from pyspark.sql import Window
-
+    from vertexloom.functions.ordering import numbered_within
     from vertexloom.operators.paths import shortest_distance
 
-    d = shortest_distance(g, root).withColumn("r", F.coalesce("dist", F.lit(-1.0)))
-    ring = Window.partitionBy("r")
-    angle = (F.row_number().over(ring.orderBy("id")) - 1) / F.count(F.lit(1)).over(ring) * 2 * math.pi
+    d = numbered_within(shortest_distance(g, root).select("id", F.coalesce("dist", F.lit(-1.0)).alias("r")), ["r"], ["id"])
+    d = d.join(F.broadcast(d.groupBy("r").agg(F.max("n").alias("last"))), "r")  # a row for each ring
+    angle = F.col("n") / (F.col("last") + 1) * 2 * math.pi
     return d.select("id", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
 
 

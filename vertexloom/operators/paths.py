@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions.bins import Bins, histogram
 from vertexloom.functions.ordering import numbered
 from vertexloom.graph import Graph
-from vertexloom.plans.iterate import cut, dealt
+from vertexloom.plans.iterate import Rows, cut, dealt, union
 
 
 def _pairs(g: Graph, weight: str | None) -> DataFrame:
@@ -111,44 +111,74 @@ def closeness(g: Graph, weight: str | None = None, norm: bool = True, harmonic:
     return d.groupBy("root").agg(value.alias("closeness")).withColumnRenamed("root", "id")
 
 
-def betweenness(g: Graph, norm: bool = True, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, betweenness) and (eid, betweenness), unweighted, by counting paths forward and dependencies backward over
-    levels keyed by root; parallel edges are paths of their own."""
-    roots = (sources or g.vertices).select("id")
-    dist = cut(distances(g, roots))
-    a = g.adjacency.where("src <> dst").select("eid", "src", "dst")
+def _depths(hop: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, id and k, the most edges of a shortest path from the root to the vertex."""
+    front, found, k = cut(roots.select(F.col("id").alias("root"), "id")), Rows(), 0
+    while not front.isEmpty():
+        found.add(front.withColumn("k", F.lit(k)))
+        front = cut(hop.join(front.withColumnRenamed("id", "src"), ["root", "src"]).select("root", F.col("dst").alias("id")).distinct())
+        k += 1
+    rows = found.all()
+    return (roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("k")) if rows is None else rows).groupBy("root", "id").agg(F.max("k").alias("k"))
+
+
+def _dependencies(g: Graph, roots: DataFrame, weight: str | None) -> DataFrame | None:
+    """root, id (an edge's start), eid and c, the share of the root's shortest paths through the edge, over their ends."""
+    dist = cut(distances(g, roots, weight))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    a = g.adjacency.where("src <> dst").select("eid", "src", "dst", w.alias("w"))
     hop = a.join(dist.withColumnsRenamed({"id": "src", "dist": "ds"}), "src").join(dist.withColumnsRenamed({"id": "dst", "dist": "dd", "root": "r"}), "dst")
-    hop = cut(hop.where("root = r and dd = ds + 1").select("root", "eid", "src", "dst", "ds"))
-    deepest = int(dist.agg(F.max("dist")).first()[0] or 0)
-    paths = cut(dist.where("dist = 0").select("root", "id", F.lit(1.0).alias("sigma")))
-    level = paths
-    for k in range(deepest):
-        level = cut(hop.where(F.col("ds") == k).join(level.withColumnRenamed("id", "src"), ["root", "src"]).groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma")))
-        paths = paths.unionByName(level)
-    paths = cut(paths)
-    share = hop.join(paths.withColumnsRenamed({"id": "src", "sigma": "ss"}), ["root", "src"]).join(paths.withColumnsRenamed({"id": "dst", "sigma": "sd"}), ["root", "dst"])
-    share = cut(share.select("root", "eid", "src", "dst", "ds", (F.col("ss") / F.col("sd")).alias("part")))
-    delta, flows = None, None
+    hop = cut(hop.where("root = r and abs(ds + w - dd) <= 1e-9 * greatest(1, dd)").select("root", "eid", "src", "dst", "ds", "dd"))
+    if weight is None:
+        hop = hop.select("root", "eid", "src", "dst", F.col("ds").cast("int").alias("ks"), F.col("dd").cast("int").alias("kd"))
+    else:
+        depth = cut(_depths(hop, roots))
+        hop = cut(hop.join(depth.withColumnsRenamed({"id": "src", "k": "ks"}), ["root", "src"]).join(depth.withColumnsRenamed({"id": "dst", "k": "kd"}), ["root", "dst"]).select("root", "eid", "src", "dst", "ks", "kd"))
+    deepest = hop.agg(F.max("kd")).first()[0] or 0
+    level = cut(roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("sigma")))
+    paths = [level]
+    for k in range(1, deepest + 1):  # unweighted, all edges into a level come from the one before
+        before = level if weight is None else union(paths)
+        level = cut(hop.where(F.col("kd") == k).join(before.withColumnRenamed("id", "src"), ["root", "src"]).groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma")))
+        paths.append(level)
+    sigma = union(paths)
+    share = hop.join(sigma.withColumnsRenamed({"id": "src", "sigma": "ss"}), ["root", "src"]).join(sigma.withColumnsRenamed({"id": "dst", "sigma": "sd"}), ["root", "dst"])
+    share = cut(share.select("root", "eid", "src", "dst", "ks", (F.col("ss") / F.col("sd")).alias("part")))
+    deltas, flows = [], []
     for k in range(deepest - 1, -1, -1):
-        rows = share.where(F.col("ds") == k)
-        if delta is None:
-            flow = rows.withColumn("c", F.col("part"))
+        rows = share.where(F.col("ks") == k)
+        if deltas:
+            later = deltas[-1] if weight is None else union(deltas)
+            flow = rows.join(later.withColumnRenamed("id", "dst"), ["root", "dst"], "left").withColumn("c", F.col("part") * (1 + F.coalesce("delta", F.lit(0.0))))
         else:
-            flow = rows.join(delta.withColumnRenamed("id", "dst"), ["root", "dst"], "left").withColumn("c", F.col("part") * (1 + F.coalesce("delta", F.lit(0.0))))
-        flow = cut(flow.select("root", "eid", F.col("src").alias("id"), "c"))
-        delta = flow.groupBy("root", "id").agg(F.sum("c").alias("delta"))
-        flows = flow if flows is None else flows.unionByName(flow)
+            flow = rows.withColumn("c", F.col("part"))
+        flows.append(cut(flow.select("root", "eid", F.col("src").alias("id"), "c")))
+        deltas.append(flows[-1].groupBy("root", "id").agg(F.sum("c").alias("delta")))
+    return union(flows) if flows else None
+
+
+def betweenness(g: Graph, norm: bool = True, sources: DataFrame | None = None, weight: str | None = None, batches: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, betweenness) and (eid, betweenness): paths are counted forward and dependencies backward over levels keyed by root.
+
+    Parallel edges are paths of their own. Weights must be above 0. State holds roots times edges, so ``batches`` of roots
+    (by hash) are taken one after the other and added up.
+    """
+    roots, v, e = (sources or g.vertices).select("id").distinct(), [], []
+    for b in range(batches):
+        flows = _dependencies(g, roots.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b) if batches > 1 else roots, weight)
+        if flows is not None:
+            v.append(cut(flows.where("root <> id").groupBy("id").agg(F.sum("c").alias("b"))))
+            e.append(cut(flows.groupBy("eid").agg(F.sum("c").alias("b"))))
     n = g.num_vertices()
     half = 1.0 if g.directed else 0.5
-    if flows is None:
+    if not v:
         return g.vertices.select("id", F.lit(0.0).alias("betweenness")), g.edges.select("eid", F.lit(0.0).alias("betweenness"))
     v_scale = half / ((n - 1) * (n - 2)) * (1 if g.directed else 2) if norm and n > 2 else half
     e_scale = half / (n * (n - 1)) * (1 if g.directed else 2) if norm and n > 1 else half
-    v = flows.where("root <> id").groupBy("id").agg(F.sum("c").alias("b"))
-    e = flows.groupBy("eid").agg(F.sum("c").alias("b"))
+    on_v, on_e = (union(x).groupBy(key).agg(F.sum("b").alias("b")) for x, key in ((v, "id"), (e, "eid")))
     return (
-        g.vertices.select("id").join(v, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * v_scale).alias("betweenness")),
-        g.edges.select("eid").join(e, "eid", "left").select("eid", (F.coalesce("b", F.lit(0.0)) * e_scale).alias("betweenness")),
+        g.vertices.select("id").join(on_v, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * v_scale).alias("betweenness")),
+        g.edges.select("eid").join(on_e, "eid", "left").select("eid", (F.coalesce("b", F.lit(0.0)) * e_scale).alias("betweenness")),
     )
 
 

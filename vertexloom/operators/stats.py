@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bins import Bins, histogram
+from vertexloom.functions.ordering import numbered_within
 from vertexloom.graph import Graph
 from vertexloom.operators.degree import selected
 
@@ -41,9 +42,10 @@ def _pair(g: Graph):
 
 
 def label_parallel_edges(g: Graph, mark_only: bool = False) -> DataFrame:
-    """eid and label: 0 for the first edge of a pair by eid, then 1, 2, ... (or a flag). Pairs, however hot, are few rows each but one; loops are pairs."""
-    n = F.row_number().over(Window.partitionBy(*_pair(g)).orderBy("eid")) - 1
-    return g.edges.select("eid", (n > 0 if mark_only else n.cast("long")).alias("label"))
+    """eid and label: 0 for the first edge of a pair by eid, then 1, 2, ... (or a flag); loops are pairs."""
+    a, b = _pair(g)
+    n = numbered_within(g.edges.select("eid", F.col(a).alias("a") if g.directed else a.alias("a"), F.col(b).alias("b") if g.directed else b.alias("b")), ["a", "b"], ["eid"], "label")
+    return n.select("eid", (F.col("label") > 0).alias("label") if mark_only else F.col("label"))
 
 
 def remove_parallel_edges(g: Graph) -> Graph:
@@ -53,7 +55,7 @@ def remove_parallel_edges(g: Graph) -> Graph:
 
 def label_self_loops(g: Graph, mark_only: bool = False) -> DataFrame:
     """eid and label: loops of a vertex are numbered from 1, other edges get 0."""
-    loops = g.edges.where("src = dst").select("eid", F.row_number().over(Window.partitionBy("src").orderBy("eid")).cast("long").alias("label"))
+    loops = numbered_within(g.edges.where("src = dst").select("eid", "src"), ["src"], ["eid"], "label").select("eid", (F.col("label") + 1).alias("label"))
     out = loops.unionByName(g.edges.where("src <> dst").select("eid", F.lit(0).cast("long").alias("label")))
     return out.select("eid", (F.col("label") > 0).alias("label")) if mark_only else out
 

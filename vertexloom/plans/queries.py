@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from vertexloom.functions import special
 from vertexloom.graph import Graph
 from vertexloom.operators import centrality, clustering, community, components, correlations, degree, flow, layout, paths, spectral, stats, transform
+from vertexloom.plans import iterate
 from vertexloom.plans.testgraphs import POINTS, SIMPLE, SUPPLY, TREE, USERS, VISITS, points, simple_users, supply, table, tree, users, visits
+from vertexloom.sources import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -572,9 +575,11 @@ def transitive_closure(s, d):
     return components.transitive_closure(stats.remove_self_loops(visits(s, d)))
 
 
-@query(f"with {TREE} select id, case when id < 1000 then 0 when id < 1000000 then 1 else 2 end as level from v")
+@query(f"with recursive {VISITS}, a as (select distinct least(src, dst) as src, greatest(src, dst) as dst from p), lv(id, level) as (select id, 0 from v where id not in (select dst from a) union select a.dst, level + 1 from lv join a on a.src = lv.id) select id, max(level) as level from lv group by id")
 def topological_sort(s, d):
-    return components.topological_levels(tree(s, d))
+    """Levels once every edge leads to the larger number."""
+    g = stats.remove_self_loops(visits(s, d))
+    return components.topological_levels(g.with_edges(g.edges.select("eid", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))))
 
 
 @query(f"with {USERS} select true as tree_is_dag, not exists (select 1 from e where src = dst) as users_is_dag")
@@ -814,14 +819,43 @@ def max_flow(s, d):
     return out.agg((F.abs(F.sum("w") - value) < 1e-6).alias("balanced"))
 
 
-@query(f"with {TREE}, r as (select 0::bigint as id union all select dst from e where src = 0 union all select b.dst from e a join e b on b.src = a.dst where a.src = 0) select r.id, coalesce(e.src, 0) as idom from r left join e on e.dst = r.id")
+#: A vertex dominates what can't be reached without it; the nearest one has the most that dominate it.
+_DOMINATE = _BFS + """, o(id) as (select id from m union select p.dst from o join p on p.src = o.id),
+go(d, id) as (select o.id, m.id from o, m where o.id <> m.id union select go.d, p.dst from go join p on p.src = go.id where p.dst <> go.d),
+dm as (select x.id as d, y.id as x from o x cross join o y where x.id <> y.id and not exists (select 1 from go where go.d = x.id and go.id = y.id)),
+rank as (select o.id, count(dm.d) as n from o left join dm on dm.x = o.id group by o.id)"""
+
+
+@query("with recursive " + _DOMINATE + " select o.id, coalesce(arg_max(dm.d, rank.n), o.id) as idom from o left join dm on dm.x = o.id left join rank on rank.id = dm.d group by o.id")
 def dominator_tree(s, d):
-    return flow.dominator_tree(tree(s, d), 0)
+    g = visits(s, d)
+    return flow.dominator_tree(g, _first(g))
+
 
+_WITHOUT = VISITS + """, go(v, id) as (select src, min(dst) from b group by src union select go.v, b.dst from go join b on b.src = go.id where b.dst <> go.v),
+far as (select distinct b.src as id from b left join go on go.v = b.src and go.id = b.dst where go.id is null)"""
 
-@query(f"with {TREE}, k as (select id, count(*) as n from (select src as id from e union all select dst from e) group by id) select v.id, coalesce(k.n, 0) > 1 as articulation from v left join k using (id)")
+
+@query("with recursive " + _WITHOUT + " select id, id in (select id from far) as articulation from v")
 def articulation_points(s, d):
-    return flow.biconnected_components(tree(s, d))[1]
+    return flow.biconnected_components(visits(s, d))[1]
+
+
+@query(f"with {SIMPLE}, k as (select src as id, sum(w) as w from u group by src) select round(min(w), 6) as value from k")
+def min_cut(s, d):
+    """On a graph so dense that the lightest cut takes off one vertex."""
+    return rounded(s.createDataFrame([(flow.min_cut(simple_users(s, d), "w")[0],)], "value double"), "value")
+
+
+@query(f"with {TREE} select eid, true as kept from e")
+def isomorphism(s, d):
+    """Of each edge of a tree whether the map found to a renumbered copy leads it to an edge there."""
+    g = tree(s, d)
+    other = Graph(g.vertices.select((-1 - F.col("id")).alias("id")), g.edges.select("eid", (-1 - F.col("src")).alias("src"), (-1 - F.col("dst")).alias("dst")), True)
+    image = components.cut(flow.isomorphism(g, other))
+    there = other.edges.select("src", "dst", F.lit(True).alias("there"))
+    moved = g.edges.join(image.toDF("src", "a"), "src").join(image.toDF("dst", "b"), "dst").select("eid", F.col("a").alias("src"), F.col("b").alias("dst"))
+    return moved.join(there, ["src", "dst"], "left").select("eid", F.coalesce("there", F.lit(False)).alias("kept"))
 
 
 @query("select true as planar")
@@ -858,3 +892,20 @@ def overlap_memberships(s, d):
 @query("select 1572::bigint as most_blocks, round(2.414413, 5)::double as degree, 200.0::double as degree_of_many")
 def closed_forms(s, d):
     return s.createDataFrame([(special.max_blocks(1e6, 5e6), round(special.average_degree_limit(10, math.log(10) / 100, 100), 5), special.average_degree_limit(10, math.log(10) / 100))], "most_blocks long, degree double, degree_of_many double")
+
+
+# Files: what comes back from each format after all users' edges were written in it
+
+
+def _back(s, d, kind: str) -> DataFrame:
+    g = users(s, d)
+    g = Graph(g.vertices.select("id", F.col("id").alias("name"), "score"), g.edges.select("eid", "src", "dst", "w"), True)
+    path = f"{iterate.shared_dir(s).rstrip('/')}/graph-{uuid.uuid4().hex}.{kind}"
+    formats.save_graph(g, path, kind)
+    h = formats.load_graph(s, path)
+    name = h.vertices.select("id", F.col("name").cast("double").cast("long").alias("name"))
+    return rounded(h.edges.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "w")
+
+
+for _kind in ("gt", "graphml", "gml", "dot"):
+    query(f"with {USERS} select src, dst, round(w, 6) as w from e", f"file_{_kind}")(lambda s, d, k=_kind: _back(s, d, k))
