@@ -403,3 +403,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("degrees").collect()} == {(0, 1), (1, 2), (2, 1)}
+
+
+def test_more_options(spark, people):
+    two = make(spark, [(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0), (4, 5, 2.0)], 6, False)
+    assert column(components.min_spanning_forest(two, "weight", root=4), "eid", "eid") == [2, 3]
+    square = make(spark, [(0, 1), (1, 2), (2, 3), (3, 0)], 4, False)
+    marked = square.with_vertices(square.vertices.withColumn("mark", F.col("id") == 2))
+    other = square.with_vertices(square.vertices.withColumn("mark", F.col("id") == 3))
+    assert {r["id"]: r["image"] for r in flow.isomorphism(marked, other, invariant="mark").collect()}[2] == 3
+    assert flow.isomorphism(marked, square.with_vertices(square.vertices.withColumn("mark", F.lit(False))), invariant="mark") is None
+    assert clustering.pattern_matches(square, [(0, 1), (1, 2)], max_n=3).count() == 3
+    assert column(clustering.motifs(square, 4), "count", "motif") == [1]
+    pentagon = make(spark, [(k, (k + 1) % 5) for k in range(5)], 5, False)
+    assert clustering.motifs(pentagon, 5).count() == 1
+    assert clustering.motifs(pentagon, 3, motif_list=[[(0, 1), (1, 2), (2, 0)]]).count() == 0
+    trust = make(spark, [(0, 1, 0.5), (1, 2, 0.5), (0, 2, 0.1)], 3)
+    whole = {r["id"]: r["trust"] for r in centrality.trust_transitivity(trust, "weight", 0).collect()}
+    assert [tuple(r) for r in centrality.trust_transitivity(trust, "weight", 0, target=2).collect()] == [(2, whole[2])]
+    assert column(degree.reversed_map(marked.vertices, "mark"), "id", "value") == [0, 2]
+    wanted = spark.createDataFrame([(k, 2) for k in range(30)], "id long, k_out long")
+    made = transform.random_graph(spark, wanted, False, 1, False, False)
+    pairs = {tuple(sorted((r["src"], r["dst"]))) for r in made.edges.collect()}
+    assert len(pairs) == 30 and all(a != b for a, b in pairs)
+    with pytest.raises(ValueError):
+        transform.random_graph(spark, spark.createDataFrame([(0, 2), (1, 2)], "id long, k_out long"), False, 1, False, False, at_most=3)
+
+
+def test_label_rings(people):
+    from vertexloom.operators import layout
+
+    at = {r["id"]: math.hypot(r["x"], r["y"]) for r in layout.radial_layout(people, 0).collect()}
+    assert [round(at[k], 6) for k in range(10)] == [0, 2, 2, 1, 1, 3, 1, 1, 3, 2]

@@ -182,8 +182,12 @@ def bipartite(g: Graph) -> tuple[bool, DataFrame]:
     return ok, sides.select("id", (F.when(F.col("even") < F.col("odd"), 0).otherwise(1) if ok else F.lit(0)).alias("side"))
 
 
-def min_spanning_forest(g: Graph, weight: str | None = None) -> DataFrame:
-    """eid of a minimum spanning forest (ties by eid), by rounds in which every component takes its lightest edge out."""
+def min_spanning_forest(g: Graph, weight: str | None = None, root: int | None = None) -> DataFrame:
+    """eid of a minimum spanning forest (ties by eid), by rounds in which every component takes its lightest edge out; with a
+    ``root``, of the tree that holds it."""
+    if root is not None:
+        inside = reach(g.vertices.where(F.col("id") == root).select("id"), g.as_undirected().adjacency.select("src", "dst").distinct())
+        return min_spanning_forest(g.with_edges(g.edges.join(inside.withColumnRenamed("id", "src"), "src", "left_semi")), weight)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     edges = cut(g.edges.where("src <> dst").select("eid", F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")))
     tree = None
@@ -203,15 +207,15 @@ def reciprocity(g: Graph) -> DataFrame:
     return g.edges.join(back, ["src", "dst"], "left").agg((F.coalesce(F.sum("back"), F.lit(0.0)) / F.count(F.lit(1))).alias("reciprocity"))
 
 
-def similarity(g: Graph, h: Graph, label: str = "id", norm: bool = True) -> DataFrame:
+def similarity(g: Graph, h: Graph, label: str = "id", norm: bool = True, other_label: str | None = None) -> DataFrame:
     """similarity: what the multisets of neighbour labels have in common over vertices of equal label, over the larger number of edges."""
 
-    def ends(x: Graph) -> DataFrame:
+    def ends(x: Graph, label: str) -> DataFrame:
         names = x.vertices.select(F.col("id").alias("_v"), F.col(label).alias("_l"))
         e = x.adjacency.select("src", "dst").join(names.toDF("src", "ls"), "src").join(names.toDF("dst", "ld"), "dst")
         return e.groupBy("ls", "ld").count()
 
-    both = ends(g).join(ends(h).withColumnRenamed("count", "other"), ["ls", "ld"])
+    both = ends(g, label).join(ends(h, other_label or label).withColumnRenamed("count", "other"), ["ls", "ld"])
     s = both.agg((F.coalesce(F.sum(F.least("count", "other")), F.lit(0)) * (1.0 if g.directed else 0.5)).alias("s"))
     sizes = g.edges.agg(F.count(F.lit(1)).alias("n1")).join(h.edges.agg(F.count(F.lit(1)).alias("n2")))
     return s.join(sizes).select((F.col("s") / (F.greatest("n1", "n2") if norm else F.lit(1))).alias("similarity"))

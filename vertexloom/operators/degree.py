@@ -100,6 +100,11 @@ def mapped(df: DataFrame, column: str, table: DataFrame, name: str) -> DataFrame
     return df.join(table.select(F.col("key").alias(column), F.col("value").alias(name)), column, "left")
 
 
+def reversed_map(df: DataFrame, column: str, name: str = "id") -> DataFrame:
+    """value and the smallest id that has it."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(name).alias(name))
+
+
 def continuous(df: DataFrame, column: str, name: str) -> DataFrame:
     """Relabel to 0..k-1 in value order."""
     return df.join(ranks(df, F.col(column), name).withColumnRenamed("key", column), column)

@@ -156,9 +156,12 @@ def geometric_graph(points: DataFrame, radius: float, coordinates: list[str], bo
     return Graph.from_edges(pairs, points.select("id", *coordinates), False)
 
 
-def random_graph(spark: SparkSession, degrees: DataFrame, directed: bool = True, seed: int = 0) -> Graph:
+def random_graph(spark: SparkSession, degrees: DataFrame, directed: bool = True, seed: int = 0, parallel_edges: bool = True, self_loops: bool = True, at_most: int = 50) -> Graph:
     """Configuration model from (id, k_out, k_in) (undirected: k_out alone): stubs are numbered, those of one side in hashed
-    order, and equal numbers meet. Loops and parallel edges may occur; ``remove`` them or ``rewire`` to lose them."""
+    order, and equal numbers meet. Where loops or parallel edges are not allowed, rounds of rewiring swap them away; if
+    ``at_most`` rounds leave some, as where the degrees admit no other graph, that is an error."""
+    from vertexloom.plans.iterate import cut
+
     def stubs(column: str, salt: int) -> DataFrame:
         s = degrees.where(F.col(column) > 0).select("id", F.explode(F.sequence(F.lit(1), F.col(column).cast("int"))).alias("k"))
         return numbered(s.withColumn("h", F.xxhash64("id", "k", F.lit(seed), F.lit(salt))), ["h", "id", "k"], "n").select("n", "id")
@@ -168,7 +171,17 @@ def random_graph(spark: SparkSession, degrees: DataFrame, directed: bool = True,
     else:
         s = stubs("k_out", 1).withColumn("eid", F.floor(F.col("n") / 2))
         edges = s.groupBy("eid").agg(F.min_by("id", "n").alias("src"), F.max_by("id", "n").alias("dst"), F.count(F.lit(1)).alias("c")).where("c = 2").select("eid", "src", "dst")
-    return Graph(degrees.select("id"), edges, directed)
+    g = Graph(degrees.select("id"), edges, directed)
+    pair = ["src", "dst"] if directed else [F.least("src", "dst"), F.greatest("src", "dst")]
+    for n in range(at_most if not (parallel_edges and self_loops) else 0):
+        g = g.with_edges(cut(g.edges))
+        bad = (not self_loops and not g.edges.where("src = dst").isEmpty()) or (not parallel_edges and not g.edges.groupBy(*pair).count().where("count > 1").isEmpty())
+        if not bad:
+            return g
+        g = random_rewire(g, rounds=1, parallel_edges=parallel_edges, self_loops=self_loops, seed=seed + 1 + n)
+    if not (parallel_edges and self_loops):
+        raise ValueError("loops or parallel edges are left")
+    return g
 
 
 def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parallel_edges: bool = False, self_loops: bool = False, block: str | None = None, seed: int = 0, probability: DataFrame | None = None) -> Graph:

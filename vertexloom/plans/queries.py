@@ -909,3 +909,60 @@ def _back(s, d, kind: str) -> DataFrame:
 
 for _kind in ("gt", "graphml", "gml", "dot"):
     query(f"with {USERS} select src, dst, round(w, 6) as w from e", f"file_{_kind}")(lambda s, d, k=_kind: _back(s, d, k))
+
+
+# Look-ups, copies and marks
+
+
+@query(f"with {USERS}, m as (select src, dst from e order by src, dst limit 1) select e.eid, e.label from e join m using (src, dst)")
+def edges_between(s, d):
+    g = users(s, d)
+    first = g.edges.orderBy("src", "dst").select("src", "dst").first()
+    return degree.edges_between(g, first["src"], first["dst"]).select("eid", "label")
+
+
+@query(f"with {USERS} select id, events::double as copy from v")
+def copy_property(s, d):
+    return degree.copied(users(s, d).vertices, "events", "copy", "double").select("id", "copy")
+
+
+@query(f"with {USERS} select eid, upper(label) as name from e")
+def property_map(s, d):
+    e = users(s, d).edges
+    names = e.select(F.col("label").alias("key"), F.upper("label").alias("value")).distinct()
+    return degree.mapped(e, "label", names, "name").select("eid", "name")
+
+
+@query(f"with {USERS} select events as value, min(id) as id from v group by events")
+def reverse_map(s, d):
+    return degree.reversed_map(users(s, d).vertices, "events")
+
+
+@query(f"with {VISITS}, f as (select src, dst from t where label = 'click'), i as (select src as id from f union select dst from f) select id, id in (select id from i) as marked from v")
+def mark_subgraph(s, d):
+    g = visits(s, d)
+    part = g.edges.where("label = 'click'")
+    return degree.marked(g, part.select(F.explode(F.array("src", "dst")).alias("id")), part)[0]
+
+
+@query(f"with {VISITS} select a.src as v0, a.dst as v1, c.dst as v2 from (select distinct src, dst from t where label = 'click') a join p c on c.src = a.dst where a.src <> a.dst and a.src <> c.dst")
+def subgraph_edge_label(s, d):
+    return clustering.pattern_matches(stats.remove_self_loops(visits(s, d)), [(0, 1), (1, 2)], edge_labels={(0, 1): "click"}, edge_label="label")
+
+
+@query(f"with {_MOTIFS4} select case when e = 4 then 30 else 63 end::bigint as motif, count(*) as count from f4 where (e = 4 and k = 2) or e = 6 group by 1")
+def motif_list(s, d):
+    """Cycles and complete graphs of four."""
+    wanted = [[(0, 1), (1, 2), (2, 3), (3, 0)], [(i, j) for i in range(4) for j in range(i)]]
+    return clustering.motifs(visits(s, d).as_undirected(), 4, motif_list=wanted)
+
+
+@query(f"with {VISITS}, x as (select src as id from t union all select dst from t), k as (select id, least(count(*), 3) as k from x group by id) select (select sum(k)::bigint // 2 from k) as edges, true as simple, true as within")
+def random_simple_graph(s, d):
+    """A graph without loops and parallel edges, whose degrees are those of the visits, three at most; an odd end is left out."""
+    g = visits(s, d)
+    wanted = components.cut(degree.degree(g, "total", name="k_out").where("k_out > 0").select("id", F.least("k_out", F.lit(3)).alias("k_out")))
+    made = transform.random_graph(s, wanted, False, 3, False, False)
+    got = degree.degree(made, "total", name="k").join(wanted, "id").agg(F.bool_and(F.col("k") <= F.col("k_out")).alias("within"))
+    pairs = made.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("edges"), ((F.count_distinct("a", "b") == F.count(F.lit(1))) & F.bool_and(F.col("a") < F.col("b"))).alias("simple")).join(F.broadcast(got))
