@@ -53,6 +53,11 @@ def test_lm_uses_every_context(docs):
     assert few == whole
 
 
+def test_lm_splits_crowded_contexts(docs):
+    whole, split = (sorted((str(r["doc_id"]), r["n_bytes"], round(r["score"], 6)) for r in lm_scoring.score(docs, crowd=c).collect()) for c in (1 << 20, 20))
+    assert split == whole
+
+
 def test_trie_is_a_distribution():
     text = b"abracadabra abracadabra\n"
     buffer, lengths, _ = ppm.joined([text, b"cab"])

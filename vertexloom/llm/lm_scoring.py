@@ -6,7 +6,8 @@
    pre-summed);
 2. every counted gram gets its log probability from the whole trie: grams are dealt by the last two bytes of their
    context, which brings every longer context's edges together; contexts of no or one byte (65,536 edges at most)
-   are broadcast;
+   are broadcast. Contexts of more than ``crowd`` grams are dealt by a third byte, then a fourth and a fifth, under which
+   256 grams can lie; the edges of these contexts themselves (256 for each ``crowd`` grams at most) are broadcast too;
 3. each task codes its texts and sums the base of common words. The commonest grams with their log probabilities
    (``capacity`` at most, by their count over all texts) and the ``top`` commonest words are broadcast; they hold
    most tokens. The rest, none of which can be hot, meet theirs in a join.
@@ -30,6 +31,8 @@ from vertexloom.llm._shared import Lookup, arrow_map, holdout, slices, written
 BLOCK_WORDS = 300_000
 #: Grams that a task of pass 2 has on average.
 PART_GRAMS = 1 << 17
+#: Grams of one context that stay together.
+CROWD = 8 * PART_GRAMS
 COUNTS = "kind int, word binary, gram long, n long, m long"
 
 
@@ -85,26 +88,46 @@ def _level(gram: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return keys, np.bincount(owner, n, len(keys)).astype(np.int64)
 
 
-def log_probabilities(grams: DataFrame) -> DataFrame:
+def _context(k: int):
+    return F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1)
+
+
+def log_probabilities(grams: DataFrame, crowd: int = CROWD) -> DataFrame:
     """gram, m and log, log10 of the last byte's probability under the trie of all contexts that ``n`` counts."""
     short = grams.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     gram, n = (short[c].to_numpy() for c in ("gram", "n"))
-    low = grams.sparkSession.sparkContext.broadcast([_level(gram, n, k) for k in (0, 1)])
+    model, parts = {k: _level(gram, n, k) for k in (0, 1)}, 1 + grams.count() // PART_GRAMS
+    dealt, deal, crowded = grams, _context(2), {}
+    for k in range(2, ppm.ORDER):
+        full = dealt if k == 2 else dealt.where(f"crowded{k - 1}")
+        found = full.groupBy(_context(k).alias(f"context{k}")).count().where(F.col("count") > crowd).select(f"context{k}")
+        found = grams.sparkSession.createDataFrame(found.toPandas(), f"context{k} long")  # one for each ``crowd`` grams at most
+        if found.isEmpty():
+            break
+        dealt = dealt.withColumn(f"context{k}", _context(k)).join(F.broadcast(found.withColumn("there", F.lit(True))), f"context{k}", "left").withColumn(f"crowded{k}", F.coalesce("there", F.lit(False))).drop("there")
+        edges = dealt.where(f"crowded{k}").where("n > 0").groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+        crowded[k] = tuple(edges[c].to_numpy() for c in ("gram", "n"))
+        deal = F.when(F.col(f"crowded{k}"), _context(k + 1) + (k << 48)).otherwise(deal)
+    low = grams.sparkSession.sparkContext.broadcast((model, crowded))
 
     def coded(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         gram, n, m = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in range(3))
-        levels, seen = [], n > 0
-        keys, counts = gram[seen], n[seen]
+        (model, crowded), seen = low.value, n > 0
+        levels, keys, counts = dict(model), gram[seen], n[seen]
         for k in range(ppm.ORDER, 1, -1):
             keys, counts = _level(keys, counts, k)
-            levels.append((keys, counts))
-        yield pa.record_batch([pa.array(gram), pa.array(m), pa.array(ppm.Trie(low.value + levels[::-1]).code(gram))], ["gram", "m", "log"])
+            levels[k] = keys, counts
+        for k, (edges, sums) in crowded.items():  # of these contexts a task has a part of the edges only
+            near = np.isin(edges >> 8, np.unique((gram >> 8) & ((1 << 8 * k) - 1)))
+            own, n_own = levels[k]
+            rest = ~np.isin(own >> 8, edges[near] >> 8)
+            levels[k] = np.concatenate([own[rest], edges[near]]), np.concatenate([n_own[rest], sums[near]])
+        yield pa.record_batch([pa.array(gram), pa.array(m), pa.array(ppm.Trie([levels[k] for k in range(ppm.ORDER + 1)]).code(gram))], ["gram", "m", "log"])
 
-    context = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    return arrow_map(grams.select("gram", "n", "m").repartition(1 + grams.count() // PART_GRAMS, context), coded, "gram long, m long, log double")
+    return arrow_map(dealt.repartition(parts, deal).select("gram", "n", "m"), coded, "gram long, m long, log double")
 
 
 def common_grams(logs: DataFrame, capacity: int):
@@ -119,7 +142,7 @@ def common_grams(logs: DataFrame, capacity: int):
     return step >= least
 
 
-def score(docs: DataFrame, capacity: int = 1 << 20, top: int = 1 << 16) -> DataFrame:
+def score(docs: DataFrame, capacity: int = 1 << 20, top: int = 1 << 16, crowd: int = CROWD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the coded stream)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", holdout(F.col("doc_id"), 7).alias("held_out"))
@@ -128,7 +151,7 @@ def score(docs: DataFrame, capacity: int = 1 << 20, top: int = 1 << 16) -> DataF
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     whole = size["n"] + size["v"] + 1
     common = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(top).collect()}
-    logs = written(log_probabilities(counts.where("kind = 1")))
+    logs = written(log_probabilities(counts.where("kind = 1"), crowd))
     often = common_grams(logs, capacity)
     near = logs.where(often).select("gram", "log").toArrow()
     log_of = np.append(near["log"].to_numpy(), 0.0)  # what is not found, at -1, adds nothing here
