@@ -7,7 +7,8 @@
 2. every counted gram gets its log probability from the whole trie: grams are dealt by the last two bytes of their
    context, which brings every longer context's edges together; contexts of no or one byte (65,536 edges at most)
    are broadcast. Contexts of more than ``crowd`` grams are dealt by a third byte, then a fourth and a fifth, under which
-   256 grams can lie; the edges of these contexts themselves (256 for each ``crowd`` grams at most) are broadcast too;
+   256 grams can lie; the edges of these contexts themselves (256 for each of ``SHARE`` contexts at most, at each of three
+   lengths) are broadcast too;
 3. each task codes its texts and sums the base of common words. The commonest grams with their log probabilities
    (``capacity`` at most, by their count over all texts) and the ``top`` commonest words are broadcast; they hold
    most tokens. The rest, none of which can be hot, meet theirs in a join.
@@ -31,8 +32,8 @@ from vertexloom.llm._shared import Lookup, arrow_map, holdout, slices, written
 BLOCK_WORDS = 300_000
 #: Grams that a task of pass 2 has on average.
 PART_GRAMS = 1 << 17
-#: Grams of one context that stay together.
-CROWD = 8 * PART_GRAMS
+#: Grams of one context that stay together: so many, or this share of all if that is more.
+CROWD, SHARE = 1 << 13, 1 << 14
 COUNTS = "kind int, word binary, gram long, n long, m long"
 
 
@@ -92,16 +93,17 @@ def _context(k: int):
     return F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1)
 
 
-def log_probabilities(grams: DataFrame, crowd: int = CROWD) -> DataFrame:
+def log_probabilities(grams: DataFrame, crowd: int | None = None) -> DataFrame:
     """gram, m and log, log10 of the last byte's probability under the trie of all contexts that ``n`` counts."""
     short = grams.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     gram, n = (short[c].to_numpy() for c in ("gram", "n"))
-    model, parts = {k: _level(gram, n, k) for k in (0, 1)}, 1 + grams.count() // PART_GRAMS
+    total = grams.count()
+    model, parts, crowd = {k: _level(gram, n, k) for k in (0, 1)}, 1 + total // PART_GRAMS, crowd or max(CROWD, total // SHARE)
     dealt, deal, crowded = grams, _context(2), {}
     for k in range(2, ppm.ORDER):
         full = dealt if k == 2 else dealt.where(f"crowded{k - 1}")
         found = full.groupBy(_context(k).alias(f"context{k}")).count().where(F.col("count") > crowd).select(f"context{k}")
-        found = grams.sparkSession.createDataFrame(found.toPandas(), f"context{k} long")  # one for each ``crowd`` grams at most
+        found = grams.sparkSession.createDataFrame(found.toPandas(), f"context{k} long")  # ``SHARE`` at most
         if found.isEmpty():
             break
         dealt = dealt.withColumn(f"context{k}", _context(k)).join(F.broadcast(found.withColumn("there", F.lit(True))), f"context{k}", "left").withColumn(f"crowded{k}", F.coalesce("there", F.lit(False))).drop("there")
@@ -142,7 +144,7 @@ def common_grams(logs: DataFrame, capacity: int):
     return step >= least
 
 
-def score(docs: DataFrame, capacity: int = 1 << 20, top: int = 1 << 16, crowd: int = CROWD) -> DataFrame:
+def score(docs: DataFrame, capacity: int = 1 << 20, top: int = 1 << 16, crowd: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the coded stream)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", holdout(F.col("doc_id"), 7).alias("held_out"))
