@@ -226,6 +226,25 @@ def test_links_lose_nothing(spark, hot):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_forest_of_a_key_keeps_its_chain():
+    fps = np.array(spread_fingerprints(400), np.uint64)
+    key = simhash.segment(fps[:1], 0)[0] << np.uint64(13) | simhash.segment(fps[:1], 1)[0]
+    got = simhash.forest(fps, np.ones(len(fps), bool), key)
+    fits = {(a, b) for a in range(len(fps)) for b in range(len(fps)) if a != b and simhash.chained(np.array([key]), fps[a : a + 1], fps[b : b + 1])[0]}
+    at = {int(x): n for n, x in enumerate(fps)}
+    assert {(at[a], at[b]) for a, b in got} <= fits
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in fits:
+        parent[find(a)] = find(b)
+    assert len(got) == len(fps) - len({find(x) for x in range(len(fps))})
+
+
 def test_forest_connects_large_groups():
     fps = np.array(spread_fingerprints(400), np.uint64)
     got = simhash.forest(fps, np.ones(len(fps), bool))

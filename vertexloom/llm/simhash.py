@@ -154,14 +154,15 @@ def chained(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def forest(fp: np.ndarray, indexed: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what links within ``TAU`` to indexed members connect; one fewer than members at most."""
+def forest(fp: np.ndarray, indexed: np.ndarray, key: np.uint64 | None = None) -> list[tuple[int, int]]:
+    """Links that connect what links within ``TAU`` to indexed members connect; one fewer than members at most. With a ``key``
+    those links only whose chain from its start keeps the budgets: the others have another start."""
     group, out = np.arange(len(fp)), []
     for p in np.flatnonzero(indexed):
         other = np.flatnonzero(group != group[p])
         if not len(other):
             break
-        near = other[np.bitwise_count(fp[other] ^ fp[p]) <= TAU]
+        near = other[np.bitwise_count(fp[other] ^ fp[p]) <= TAU] if key is None else other[chained(np.full(len(other), key), np.full(len(other), fp[p]), fp[other])]
         if len(near):
             joined, first = np.unique(group[near], return_index=True)
             out += [(int(fp[p]), int(fp[near[k]])) for k in first]
@@ -178,7 +179,7 @@ def _linked(batches):
         good = (sizes > 1) & (np.add.reduceat(indexed.astype(np.int64), starts) > 0)
         found = []
         for s, n in zip(starts[good & (sizes > 48)], sizes[good & (sizes > 48)], strict=True):
-            found += forest(*_distinct(fp[s : s + n], indexed[s : s + n]))
+            found += forest(*_distinct(fp[s : s + n], indexed[s : s + n]), key[s])
         group = np.repeat(np.arange(len(starts)), sizes)
         left = np.flatnonzero(indexed & (good & (sizes <= 48))[group])
         reps = sizes[group[left]]
