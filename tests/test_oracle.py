@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from vertexloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["degree_out", "degree_weighted_total", "edge_endpoint_source", "incident_sum", "infect_property", "find_edge_range", "graph_view", "reversed_graph", "perfect_prop_hash", "vertex_hist", "vertex_hist_irregular", "edge_average", "label_parallel_edges", "label_self_loops", "assortativity", "scalar_assortativity", "corr_hist", "avg_neighbour_corr", "local_clustering", "global_clustering", "motifs3", "adjacency", "norm_laplacian", "incidence", "transition", "pagerank10", "katz10", "weighted_distance", "weak_components", "strong_components", "line_graph", "condensation_edges", "lattice", "complete_graph", "geometric_graph", "modularity", "block_entropy", "similarity"]
+QUICK = ["degree_out", "degree_weighted_total", "edge_endpoint_source", "incident_sum", "infect_property", "find_edge_range", "graph_view", "reversed_graph", "perfect_prop_hash", "vertex_hist", "vertex_hist_irregular", "edge_average", "label_parallel_edges", "label_self_loops", "assortativity", "scalar_assortativity", "corr_hist", "avg_neighbour_corr", "local_clustering", "global_clustering", "motifs3", "adjacency", "norm_laplacian", "incidence", "transition", "pagerank10", "katz10", "weighted_distance", "weak_components", "strong_components", "line_graph", "condensation_edges", "lattice", "complete_graph", "geometric_graph", "modularity", "block_entropy", "similarity", "bfs_search", "kcore", "min_spanning_tree", "pseudo_diameter", "betweenness", "edge_betweenness", "motifs4", "trust_transitivity", "greedy_matching", "shortest_path", "topological_sort", "dominator_tree", "articulation_points", "min_cut", "isomorphism", "strong_components_rounds", "prop_to_size", "closed_forms", "file_gt", "file_graphml", "file_gml", "file_dot", "reverse_map", "random_simple_graph"]
 
 
 @pytest.fixture(scope="module")

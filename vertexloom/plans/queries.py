@@ -725,10 +725,28 @@ def random_graph_degrees(s, d):
     return degree.degree(made, "out", name="k_out").join(degree.degree(made, "in", name="k_in"), "id")
 
 
-@query(f"with {_DEG} select id, ko.k as k_out, ki.k as k_in from ko join ki using (id)")
+def _rewired(g: Graph, made: Graph) -> DataFrame:
+    """Degrees after rewiring, and whether most edges lead elsewhere."""
+    pairs = made.edges.select("eid", "src", F.col("dst").alias("to")).join(g.edges.select("eid", F.col("src").alias("from"), "dst"), "eid")
+    moved = pairs.agg((F.avg(((F.col("to") != F.col("dst")) | (F.col("src") != F.col("from"))).cast("double")) > 0.5).alias("moved"))
+    return degree.degree(made, "out", name="k_out").join(degree.degree(made, "in", name="k_in"), "id").join(F.broadcast(moved))
+
+
+@query(f"with {_DEG} select id, ko.k as k_out, ki.k as k_in, true as moved from ko join ki using (id)")
 def random_rewire_degrees(s, d):
-    made = transform.random_rewire(users(s, d), rounds=2, parallel_edges=True, self_loops=True, seed=3)
-    return degree.degree(made, "out", name="k_out").join(degree.degree(made, "in", name="k_in"), "id")
+    g = users(s, d)
+    return _rewired(g, transform.random_rewire(g, rounds=2, parallel_edges=True, self_loops=True, seed=3))
+
+
+@query(f"with {VISITS}, o as (select src as id, count(*) as k from p group by 1), i as (select dst as id, count(*) as k from p group by 1) select v.id, coalesce(o.k, 0) as k_out, coalesce(i.k, 0) as k_in, true as moved, true as simple from v left join o using (id) left join i using (id)")
+def rewire_simple(s, d):
+    """No loop or parallel edge comes out of a graph that has none."""
+    g = stats.remove_self_loops(visits(s, d))
+    g = stats.remove_parallel_edges(g)
+    g = g.with_edges(components.cut(g.edges))
+    made = transform.random_rewire(g, rounds=2, seed=3)
+    simple = made.edges.agg(((F.count_distinct("src", "dst") == F.count(F.lit(1))) & F.bool_and(F.col("src") != F.col("dst"))).alias("simple"))
+    return _rewired(g, made).join(F.broadcast(simple))
 
 
 # Communities
@@ -783,11 +801,10 @@ def _block_weights(g: Graph) -> DataFrame:
     return e.groupBy("r", "s").agg(F.count(F.lit(1)).cast("double").alias("p"))
 
 
-@query(f"with {_DEG} select id, ko.k as k_out, ki.k as k_in from ko join ki using (id)")
+@query(f"with {_DEG} select id, ko.k as k_out, ki.k as k_in, true as moved from ko join ki using (id)")
 def rewire_probabilistic_degrees(s, d):
     g = users(s, d)
-    made = transform.random_rewire(g, "probabilistic", 1, True, True, "block", 3, _block_weights(g))
-    return degree.degree(made, "out", name="k_out").join(degree.degree(made, "in", name="k_in"), "id")
+    return _rewired(g, transform.random_rewire(g, "probabilistic", 2, True, True, "block", 3, _block_weights(g)))
 
 
 @query(f"with {USERS} select count(*) as edges, sum(eid)::bigint as eids from e")
@@ -878,12 +895,12 @@ def multilevel_layout(s, d):
     return rounded(layout.multilevel_layout(visits(s, d), 2), "x", "y", places=3)
 
 
-@query(f"with {USERS} select id, count(*) as n from (select src as id from e union all select dst from e) group by id having count(*) > 0")
+@query(f"with {USERS} select id, block, count(*) as n from (select src as id, (2 * eid) % 3 as block from e union all select dst, (2 * eid + 1) % 3 from e) group by id, block")
 def overlap_memberships(s, d):
     """Each vertex's half-edges over the blocks that they lie in."""
     g = users(s, d)
     h = transform.half_edges(g).vertices.select("node", (F.col("id") % 3).alias("block"))
-    return community.overlap_sets(h).select(F.col("node").alias("id"), F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
+    return community.overlap_sets(h).select(F.col("node").alias("id"), F.explode("blocks").alias("b")).select("id", "b.block", "b.n")
 
 
 # Closed forms, against the values that are documented for them
@@ -957,12 +974,12 @@ def motif_list(s, d):
     return clustering.motifs(visits(s, d).as_undirected(), 4, motif_list=wanted)
 
 
-@query(f"with {VISITS}, x as (select src as id from t union all select dst from t), k as (select id, least(count(*), 3) as k from x group by id) select (select sum(k)::bigint // 2 from k) as edges, true as simple, true as within")
+@query(f"with {VISITS} select count(*) as edges, true as simple, true as kept from t")
 def random_simple_graph(s, d):
-    """A graph without loops and parallel edges, whose degrees are those of the visits, three at most; an odd end is left out."""
+    """A graph without loops and parallel edges that has the degrees of the visits."""
     g = visits(s, d)
-    wanted = components.cut(degree.degree(g, "total", name="k_out").where("k_out > 0").select("id", F.least("k_out", F.lit(3)).alias("k_out")))
+    wanted = components.cut(degree.degree(g, "total", name="k_out").where("k_out > 0"))
     made = transform.random_graph(s, wanted, False, 3, False, False)
-    got = degree.degree(made, "total", name="k").join(wanted, "id").agg(F.bool_and(F.col("k") <= F.col("k_out")).alias("within"))
+    got = degree.degree(made, "total", name="k").join(wanted, "id").agg(F.bool_and(F.col("k") == F.col("k_out")).alias("kept"))
     pairs = made.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     return pairs.agg(F.count(F.lit(1)).alias("edges"), ((F.count_distinct("a", "b") == F.count(F.lit(1))) & F.bool_and(F.col("a") < F.col("b"))).alias("simple")).join(F.broadcast(got))
