@@ -983,3 +983,34 @@ def random_simple_graph(s, d):
     got = degree.degree(made, "total", name="k").join(wanted, "id").agg(F.bool_and(F.col("k") == F.col("k_out")).alias("kept"))
     pairs = made.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     return pairs.agg(F.count(F.lit(1)).alias("edges"), ((F.count_distinct("a", "b") == F.count(F.lit(1))) & F.bool_and(F.col("a") < F.col("b"))).alias("simple")).join(F.broadcast(got))
+
+
+# Marginals of sampled partitions
+
+_SAMPLES = USERS + ", sm as (select k as sample, id, (id * (k + 1) + k * k) % 3 as block from v, range(6) r(k)), vm as (select id, block, count(*) as n from sm group by 1, 2), em as (select e.eid, a.block as r, b.block as s, count(*) as n from e join sm a on a.id = e.src join sm b on b.sample = a.sample and b.id = e.dst group by 1, 2, 3)"
+
+
+def _samples(s, d) -> tuple[Graph, DataFrame]:
+    g = users(s, d)
+    k = F.col("sample")
+    return g, g.vertices.select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("sample")).select("sample", "id", ((F.col("id") * (k + 1) + k * k) % 3).alias("block"))
+
+
+@query(f"with {_SAMPLES} select * from vm")
+def vertex_marginals(s, d):
+    return community.vertex_marginals(_samples(s, d)[1])
+
+
+@query(f"with {_SAMPLES} select * from em")
+def edge_marginals(s, d):
+    return community.edge_marginals(*_samples(s, d))
+
+
+@query(f"with {_SAMPLES}, k as (select id, count(*) as k from (select src as id from e union all select dst from e) group by id), ve as (select sum(-(k - 1) * n / 6.0::double * ln(n / 6.0::double)) as h from vm join k using (id)), ee as (select sum(-n / 6.0::double * ln(n / 6.0::double)) as h from em) select round(ee.h - ve.h, 4) as entropy from ee, ve")
+def bethe_entropy(s, d):
+    return rounded(community.bethe_entropy(*_samples(s, d)), "entropy", places=4)
+
+
+@query(f"with {USERS}, h as (select distinct src as node, dst % 3 as block from e), k as (select node, list_sort(list(block)) as k from h group by node) select node, dense_rank() over (order by k) - 1 as block from k")
+def nonoverlap_blocks(s, d):
+    return community.nonoverlap_blocks(users(s, d).edges.select(F.col("src").alias("node"), (F.col("dst") % 3).alias("block")))
