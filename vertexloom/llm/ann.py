@@ -7,8 +7,8 @@ how far other axes fall behind. How many is measured: at most ``JUDGES`` queries
 with all vectors, and the least number of probes that finds ``TARGET`` of their neighbours serves every query.
 
 Vectors are dealt by their own hash over shards of about ``SHARD``, once, and each shard indexes what it holds; a query
-goes to every shard with its vector, scores the vectors in its buckets there in double precision, and sends on its ``k``
-best only. So no bucket, group of near copies or query fills a task, no candidate pair is shuffled and none is capped.
+goes to every shard with its vector, scores the vectors in its buckets there (those near its best again, in double
+precision), and sends on its ``k`` best only. So no bucket, group of near copies or query fills a task, no candidate pair is shuffled and none is capped.
 Equal vectors meet in one shard, where they are one entry with its k + 1 smallest ids, all that a result can hold; tasks
 drop the others of frequent ones before the shuffle. A query that finds fewer than k candidates while there are more is
 searched against all, in blocks.
