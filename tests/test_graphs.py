@@ -435,3 +435,13 @@ def test_label_rings(people):
 
     at = {r["id"]: math.hypot(r["x"], r["y"]) for r in layout.radial_layout(people, 0).collect()}
     assert [round(at[k], 6) for k in range(10)] == [0, 2, 2, 1, 1, 3, 1, 1, 3, 2]
+
+
+def test_isomorphism_of_many_twins(spark):
+    """Leaves of one hub are one class, so more of them than the search may hold are mapped."""
+    n = 3000
+    g = make(spark, [(0, 1), (0, 2), *[(1 + k % 2, 3 + k) for k in range(n)]], n + 3)
+    h = Graph(g.vertices.select((-F.col("id")).alias("id")), g.edges.select("eid", (-F.col("src")).alias("src"), (-F.col("dst")).alias("dst")), True)
+    image = {r["id"]: r["image"] for r in flow.isomorphism(g, h, at_most=10).collect()}
+    assert len(set(image.values())) == n + 3
+    assert {(image[r["src"]], image[r["dst"]]) for r in g.edges.collect()} == {(r["src"], r["dst"]) for r in h.edges.collect()}
