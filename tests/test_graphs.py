@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -445,3 +446,15 @@ def test_isomorphism_of_many_twins(spark):
     image = {r["id"]: r["image"] for r in flow.isomorphism(g, h, at_most=10).collect()}
     assert len(set(image.values())) == n + 3
     assert {(image[r["src"]], image[r["dst"]]) for r in g.edges.collect()} == {(r["src"], r["dst"]) for r in h.edges.collect()}
+
+
+def test_motif_counts_are_not_listed(spark, monkeypatch):
+    """Counts of a graph with loops, parallel edges and all shapes are those of the listed sets."""
+    rng = random.Random(5)
+    g = make(spark, [(rng.randrange(14), rng.randrange(14)) for _ in range(55)], 14, False)
+    listed = {k: {r["motif"]: r["count"] for r in clustering.motif_sets(g, k).groupBy("motif").count().collect()} for k in (3, 4)}
+    monkeypatch.setattr(clustering, "motif_sets", None)
+    for k in (3, 4):
+        assert {r["motif"]: r["count"] for r in clustering.motifs(g, k).collect()} == listed[k]
+    assert len(listed[4]) == 6
+    assert clustering.motifs(make(spark, [(0, k) for k in range(1, 400)], 400, False), 4).collect() == [(7, 399 * 398 * 397 // 6)]
