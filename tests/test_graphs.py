@@ -458,3 +458,18 @@ def test_motif_counts_are_not_listed(spark, monkeypatch):
         assert {r["motif"]: r["count"] for r in clustering.motifs(g, k).collect()} == listed[k]
     assert len(listed[4]) == 6
     assert clustering.motifs(make(spark, [(0, k) for k in range(1, 400)], 400, False), 4).collect() == [(7, 399 * 398 * 397 // 6)]
+
+
+def test_all_pairs_by_component(spark, monkeypatch):
+    """Tasks by component and rounds over DataFrames come to the same; the first need no rounds."""
+    rng = random.Random(7)
+    edges = [(rng.randrange(9), rng.randrange(9)) for _ in range(20)] + [(10 + k, 11 + k) for k in range(5)]
+    for directed in (False, True):
+        g = make(spark, edges, 18, directed)
+        rounds = [{tuple(r) for r in paths.all_distances(g, held=0).collect()}, *[{r[0]: r[1] for r in x.collect()} for x in paths.betweenness(g, held=0)]]
+        with monkeypatch.context() as m:
+            m.setattr(paths, "distances", None)
+            assert {tuple(r) for r in paths.all_distances(g).collect()} == rounds[0]
+            assert {r["id"]: (r["dist"], r["n"]) for r in paths.distance_counts(g).where("dist = 1").collect()} == {v: (1.0, n) for v in range(18) if (n := sum(a == v and d == 1 for a, _, d in rounds[0]))}
+            for got, want in zip(paths.betweenness(g), rounds[1:], strict=True):
+                assert {r[0]: r[1] for r in got.collect()} == pytest.approx(want)
