@@ -473,3 +473,15 @@ def test_all_pairs_by_component(spark, monkeypatch):
             assert {r["id"]: (r["dist"], r["n"]) for r in paths.distance_counts(g).where("dist = 1").collect()} == {v: (1.0, n) for v in range(18) if (n := sum(a == v and d == 1 for a, _, d in rounds[0]))}
             for got, want in zip(paths.betweenness(g), rounds[1:], strict=True):
                 assert {r[0]: r[1] for r in got.collect()} == pytest.approx(want)
+
+
+def test_only_what_matters_is_fetched(spark):
+    """Limits hold for what the source reaches, or for a component, not for the whole graph."""
+    far = [(10 + k, 11 + k) for k in range(60)]
+    g = make(spark, [(0, 1), (1, 2), (0, 2), (2, 3), *far], 72)
+    value, residual = flow.max_flow(g, 0, 3, "weight", at_most=10)
+    assert value == 1 and residual.count() == 64 and residual.where("residual = 0").count() >= 2
+    assert {r["id"]: r["idom"] for r in flow.dominator_tree(g, 0, at_most=10).collect()} == {0: 0, 1: 0, 2: 0, 3: 2}
+    label, points = flow.biconnected_components(g, at_most=60)
+    assert column(label, "label", "eid")[:5] == [0, 0, 0, 3, 4]
+    assert {r["id"] for r in points.where("articulation").collect()} == {2, *range(11, 70)}
