@@ -485,3 +485,16 @@ def test_only_what_matters_is_fetched(spark):
     label, points = flow.biconnected_components(g, at_most=60)
     assert column(label, "label", "eid")[:5] == [0, 0, 0, 3, 4]
     assert {r["id"] for r in points.where("articulation").collect()} == {2, *range(11, 70)}
+
+
+def test_min_cut_of_a_dense_graph_takes_few_orders(monkeypatch):
+    rng = random.Random(3)
+    edges = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in range(60) for b in range(a))]
+    g = Local(list(range(60)), edges, False, {"w": {k: rng.random() + 0.5 for k, _, _ in edges}})
+    orders, heapify = [], kernels.heapq.heapify
+    monkeypatch.setattr(kernels.heapq, "heapify", lambda heap: (orders.append(len(heap)), heapify(heap)))
+    value, side = kernels.min_cut(g, "w")
+    assert len(orders) < 20 and len(side) == 1  # one for each vertex, if edges are not merged
+    assert value == pytest.approx(min(sum(x for k, a, b in edges if v in (a, b) for x in [g.values["w"][k]]) for v in range(60)))
+    two = Local([0, 1, 2, 3], [(0, 0, 1), (1, 2, 3)], False)
+    assert kernels.min_cut(two)[0] == 0
