@@ -346,6 +346,54 @@ def test_strong_components_both_ways(spark):
     assert column(components.strong_components(g, at_most=0), "label") == want and len(set(want)) < 40
 
 
+@pytest.fixture(scope="module")
+def parts(spark):
+    """Weak components of several kinds, a loop and a vertex alone; trusts repeat."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(20), rng.randrange(20), rng.choice([0.2, 0.5, 1.0])) for _ in range(34)]
+    return make(spark, edges + [(20 + k, 21 + k, 0.5) for k in range(9)] + [(40, 40, 1.0), (41, 42, 1.0), (42, 41, 1.0)], 45)
+
+
+def same(one, other):
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_closure_by_components(parts):
+    same(components.transitive_closure(parts), components.transitive_closure(parts, held=0))
+
+
+def test_trusts_by_component(parts):
+    for source in (0, 20, 44):
+        same(centrality.trust_transitivity(parts, "weight", source), centrality.trust_transitivity(parts, "weight", source, held=0))
+
+
+def test_extended_clustering_by_components(parts, people):
+    for g in (parts.as_undirected(), people):
+        same(clustering.extended_clustering(g, 3), clustering.extended_clustering(g, 3, held=0))
+
+
+def test_pseudo_diameter_by_component(parts):
+    for g, source in ((parts.as_undirected(), 0), (parts, 20), (parts.as_undirected(), 25), (parts, 44)):
+        assert paths.pseudo_diameter(g, source) == paths.pseudo_diameter(g, source, held=0)
+
+
+def test_strong_components_by_components(parts, monkeypatch):
+    want = column(components.strong_components(parts, 0), "label")
+    monkeypatch.setattr(components, "_spread", None)  # no rounds
+    assert column(components.strong_components(parts, 1), "label") == want
+
+
+def test_colours_by_components(parts):
+    same(components.colouring(parts.as_undirected(), 2), components.colouring(parts.as_undirected(), 2, held=0))
+
+
+def test_tasks_join_their_own_edges(spark):
+    from vertexloom.local.pairs import stars
+
+    u, v = stars(*[[9, 5, 7, 8, 3], [5, 2, 6, 7, 1]])
+    assert list(zip(u.tolist(), v.tolist())) == [(3, 1), (5, 2), (7, 6), (8, 6), (9, 2)]
+
+
 def test_block_rewiring(spark, people):
     g = make(spark, [(s, t) for s, t, _ in EDGES], 10)
     odd = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "r long, s long, p double")
