@@ -387,6 +387,13 @@ def test_colours_by_components(parts):
     same(components.colouring(parts.as_undirected(), 2), components.colouring(parts.as_undirected(), 2, held=0))
 
 
+def test_cells_push_without_a_row_for_each_vertex(spark):
+    at = spark.createDataFrame([(0, 0.0, 0.0), (1, 3.0, 4.0)], "id long, x double, y double")
+    cells = spark.createDataFrame([(2, 0.0, 1.0), (1, 3.0, 0.0)], "n long, mx double, my double")
+    got = layout._pushed(at, cells, lambda dx, dy, n: n / (dx * dx + dy * dy)).orderBy("id").collect()
+    assert got[0][3:] == pytest.approx((-1 / 3, -2.0)) and got[1][3:] == pytest.approx((2 * 3 / 18, 2 * 3 / 18 + 4 / 16))
+
+
 def test_tasks_join_their_own_edges(spark):
     from vertexloom.local.pairs import stars
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
@@ -29,6 +30,19 @@ def radial_layout(g: Graph, root: int) -> DataFrame:
     return d.select("id", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
 
 
+def _pushed(at: DataFrame, cells: DataFrame, strength: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``at`` with px and py, summed over the cells, which travel as one array: no row for each vertex and cell is made."""
+    every = F.broadcast(cells.agg(F.collect_list(F.struct("n", "mx", "my")).alias("_cells")))
+
+    def add(sums, c):
+        dx, dy = F.col("x") - c["mx"], F.col("y") - c["my"]
+        s = strength(dx, dy, c["n"])
+        return F.struct((sums["px"] + s * dx).alias("px"), (sums["py"] + s * dy).alias("py"))
+
+    nothing = F.struct(F.lit(0.0).alias("px"), F.lit(0.0).alias("py"))
+    return at.join(every).withColumn("_push", F.aggregate("_cells", nothing, add)).select(*at.columns, "_push.px", "_push.py")
+
+
 def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0, start: DataFrame | None = None) -> DataFrame:
     """Springs along edges; repulsion from the mean of each cell of a grid, which stands for its vertices."""
     a = cut(g.as_undirected().adjacency.where("src <> dst").select("src", "dst"))
@@ -38,13 +52,11 @@ def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0,
     box = lambda c: F.greatest(F.lit(-side), F.least(F.lit(2 * side), c))
     for _ in range(rounds):  # 25 by 25 cells at most
         cells = at.groupBy(F.floor(box(F.col("x")) / (side / 8)).alias("cx"), F.floor(box(F.col("y")) / (side / 8)).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        d2 = dx * dx + dy * dy + 1e-3
-        push = at.join(F.broadcast(cells)).groupBy("id").agg(F.sum(F.col("n") * k * k * dx / d2).alias("px"), F.sum(F.col("n") * k * k * dy / d2).alias("py"))
+        push = _pushed(at, cells, lambda dx, dy, n: n * k * k / (dx * dx + dy * dy + 1e-3))
         ends = a.join(at.toDF("src", "x", "y"), "src").join(at.toDF("dst", "u", "v"), "dst")
         length = F.sqrt((F.col("u") - F.col("x")) ** 2 + (F.col("v") - F.col("y")) ** 2)
         pull = ends.groupBy(F.col("src").alias("id")).agg(F.sum((F.col("u") - F.col("x")) * length / k).alias("qx"), F.sum((F.col("v") - F.col("y")) * length / k).alias("qy"))
-        f = at.join(push, "id").join(pull, "id", "left").withColumn("fx", F.col("px") + F.coalesce("qx", F.lit(0.0))).withColumn("fy", F.col("py") + F.coalesce("qy", F.lit(0.0)))
+        f = push.join(pull, "id", "left").withColumn("fx", F.col("px") + F.coalesce("qx", F.lit(0.0))).withColumn("fy", F.col("py") + F.coalesce("qy", F.lit(0.0)))
         norm = F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2) + 1e-9
         move = F.least(norm, F.lit(heat)) / norm
         at = cut(f.select("id", box(F.col("x") + F.col("fx") * move).alias("x"), box(F.col("y") + F.col("fy") * move).alias("y")))
@@ -76,11 +88,9 @@ def arf_layout(g: Graph, rounds: int = 30, a: float = 10.0, d: float = 0.5, dt:
         ends = at.agg(F.avg("x").alias("ax"), F.avg("y").alias("ay"), F.min("x").alias("lx"), F.min("y").alias("ly"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / 16 + 1e-9).alias("w"))
         placed = at.join(F.broadcast(ends))
         cells = placed.groupBy(F.floor((F.col("x") - F.col("lx")) / F.col("w")).alias("cx"), F.floor((F.col("y") - F.col("ly")) / F.col("w")).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))  # 17 by 17 at most
-        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        length = F.sqrt(dx * dx + dy * dy) + 1e-6
-        push = at.join(F.broadcast(cells)).groupBy("id").agg(F.sum(F.col("n") * dx / length).alias("px"), F.sum(F.col("n") * dy / length).alias("py"))
+        push = _pushed(placed, cells, lambda dx, dy, n: n / (F.sqrt(dx * dx + dy * dy) + 1e-6))
         near = e.join(at.toDF("src", "x", "y"), "src").join(at.toDF("dst", "u", "v"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("u") - F.col("x")).alias("qx"), F.sum(F.col("v") - F.col("y")).alias("qy"))
-        f = placed.join(push, "id").join(near, "id", "left")
+        f = push.join(near, "id", "left")
 
         def moved(c, mean, pushed, pulled):
             return F.col(c) + dt * (n * (F.col(mean) - F.col(c)) + (a - 1) * F.coalesce(pulled, F.lit(0.0)) + d * math.sqrt(n) * F.col(pushed))
