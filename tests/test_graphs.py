@@ -577,3 +577,17 @@ def test_min_cut_of_a_dense_graph_takes_few_orders(monkeypatch):
     assert value == pytest.approx(min(sum(x for k, a, b in edges if v in (a, b) for x in [g.values["w"][k]]) for v in range(60)))
     two = Local([0, 1, 2, 3], [(0, 0, 1), (1, 2, 3)], False)
     assert kernels.min_cut(two)[0] == 0
+
+
+def test_directed_motifs_of_three_are_not_listed(spark, monkeypatch):
+    rnd = random.Random(5)
+    dense = [(a, b) for a in range(14) for b in range(14) if rnd.random() < 0.3]  # loops among them
+    star = [(0, b) if b % 2 else (b, 0) for b in range(1, 30)] + [(0, 2), (3, 0), (2, 4), (4, 2), (0, 2)]
+    for edges in (dense, star, [(0, 1), (1, 0), (0, 0)], [(0, 0)]):
+        g = make(spark, edges, 30)
+        listed = {r["motif"]: r["count"] for r in clustering.motif_sets(g, 3).groupBy("motif").count().collect()}
+        with monkeypatch.context() as m:
+            m.setattr(clustering, "motif_sets", None)
+            assert {r["motif"]: r["count"] for r in clustering.motifs(g, 3).collect()} == listed
+            path = clustering.motif_code([(0, 1), (1, 2)], 3, True)
+            assert {r["motif"]: r["count"] for r in clustering.motifs(g, 3, motif_list=[[(0, 1), (1, 2)]]).collect()} == {k: n for k, n in listed.items() if k == path}
