@@ -4,6 +4,7 @@ import gzip
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +592,28 @@ def test_directed_motifs_of_three_are_not_listed(spark, monkeypatch):
             assert {r["motif"]: r["count"] for r in clustering.motifs(g, 3).collect()} == listed
             path = clustering.motif_code([(0, 1), (1, 2)], 3, True)
             assert {r["motif"]: r["count"] for r in clustering.motifs(g, 3, motif_list=[[(0, 1), (1, 2)]]).collect()} == {k: n for k, n in listed.items() if k == path}
+
+
+def test_coarse_stacks_by_tasks_are_those_by_rounds(spark, monkeypatch):
+    from vertexloom.local.pairs import hashed, matched
+    from vertexloom.operators import components as found
+
+    ids = [0, 1, -7, 1 << 40, -(1 << 62)]
+    same = spark.createDataFrame([(n, k) for n, k in enumerate(ids)], "n int, k long").orderBy("n").select(F.xxhash64("k", F.lit(3)))
+    assert hashed(np.array(ids), 3).tolist() == [r[0] for r in same.collect()]
+    chain = np.arange(300)
+    assert matched(chain, chain + 1, 301).tolist() == [k % 2 == 0 for k in range(300)]
+
+    rnd = random.Random(9)
+    edges = [(a, rnd.randrange(a + 1, 60)) if rnd.random() < 0.5 else (rnd.randrange(a + 1, 60), a) for a in range(59) for _ in range(2)]
+    edges += [(60 + rnd.randrange(40), 60 + rnd.randrange(40)) for _ in range(90)] + [(3, 5), (5, 3), (3, 5), (7, 7)]
+    for directed, weight in ((True, None), (False, "weight")):
+        g = make(spark, [(*e, float(rnd.randrange(9))) for e in edges], 105, directed)
+
+        def told(held):
+            return [(sorted(map(tuple, x.vertices.select("id", "count").collect())), sorted(map(tuple, x.edges.select("src", "dst", "count", "eid").collect())), sorted(map(tuple, b.select("id", "block").collect()))) for x, b in transform.coarse_stack(g, least=12, weight=weight, seed=2, held=held)]
+
+        with monkeypatch.context() as m:
+            m.setattr(found, "greedy_matching", None)
+            tasks = told(None)
+        assert len(tasks) > 2 and tasks == told(150)  # one component by rounds, the other by tasks

@@ -277,3 +277,81 @@ def trusts(g: Rows, source: int) -> Iterator[tuple[int, int, float]]:
                 yield d, u, best[u]
             elif u in again:
                 yield d, u, again[u]
+
+
+def hashed(values: np.ndarray, seed: int) -> np.ndarray:
+    """Spark's xxhash64 of a long and an int."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x, by):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = np.full(len(values), 42, np.uint64) + p5 + np.uint64(8)
+        h = mixed(turn(h ^ (turn(values.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+        h = h + p5 + np.uint64(4)
+        h = mixed(turn(h ^ (np.uint64(seed & 0xFFFFFFFF) * p1), 23) * p2 + p3)
+    return h.view(np.int64)
+
+
+def matched(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which edges a greedy matching takes, first edges first; ends are numbers below ``n``."""
+    taken, left, free = np.zeros(len(a), bool), np.arange(len(a)), np.ones(n, bool)
+    for _ in range(64):
+        if not len(left):
+            return taken
+        x, y = a[left], b[left]
+        first = np.full(n, -1)
+        first[np.stack([x, y], 1)[::-1].ravel()] = np.repeat(left[::-1], 2)  # the last one written, the smallest, stays
+        won = left[(first[x] == left) & (first[y] == left)]
+        taken[won], free[a[won]], free[b[won]] = True, False, False
+        left = left[free[x] & free[y]]
+    for k in left.tolist():  # long chains of edges, each waiting for the one before
+        if free[a[k]] and free[b[k]]:
+            taken[k], free[a[k]], free[b[k]] = True, False, False
+    return taken
+
+
+def coarsened(ids: np.ndarray, size: np.ndarray, src: np.ndarray, dst: np.ndarray, eid: np.ndarray, count: np.ndarray, first: tuple[np.ndarray, ...], seed: int, directed: bool, levels: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Coarser and coarser graphs of greedy matchings, where a block has the smaller id of its two ends: who (its number among the
+    sorted ``ids``), level and block of each change of a vertex's block, and who, level and size of each change of a block's size.
+    ``first`` orders the edges of the first level; then those of largest count, by hash."""
+    n = len(ids)
+    a, b, at, size, moves, grown = np.searchsorted(ids, src), np.searchsorted(ids, dst), np.arange(n), size.copy(), [], []
+    for level in range(1, levels + 1):
+        if not len(a):
+            break
+        order = np.lexsort(first[::-1])
+        won = order[matched(a[order], b[order], n)]
+        low, high = np.minimum(a[won], b[won]), np.maximum(a[won], b[won])
+        into = np.arange(n)
+        into[high] = low
+        new = into[at]
+        who = np.flatnonzero(new != at)
+        moves.append((who, np.full(len(who), level), new[who]))
+        size[low] += size[high]
+        grown.append((low, np.full(len(low), level), size[low]))
+        at, a, b = new, into[a], into[b]
+        if not directed:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        apart = a != b
+        a, b, eid, count = a[apart], b[apart], eid[apart], count[apart]
+        if len(a):
+            order = np.argsort(a * n + b, kind="stable")
+            a, b, eid, count = a[order], b[order], eid[order], count[order]
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b, eid, count = a[starts], b[starts], np.minimum.reduceat(eid, starts), np.add.reduceat(count, starts)
+        first = (-count, hashed(eid, seed + level), eid)
+
+    def by_who(parts, kind):
+        who, level, value = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((0, np.int64), (1, np.int64), (2, kind)))
+        order = np.lexsort((level, who))
+        return who[order], level[order], value[order]
+
+    who, level, block = by_who(moves, np.int64)
+    return (who, level, ids[block]), by_who(grown, np.float64)

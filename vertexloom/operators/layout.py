@@ -66,10 +66,11 @@ def force_layout(g: Graph, rounds: int = 20, side: float = 10.0, seed: int = 0,
 
 def multilevel_layout(g: Graph, rounds: int = 10, side: float = 10.0, least: int = 64, seed: int = 0) -> DataFrame:
     """``force_layout`` of the coarsest graph first; each finer one starts where its blocks lie, a little apart."""
-    from vertexloom.operators.transform import coarse_stack
+    from vertexloom.operators.transform import coarse_stack, merged
 
-    stack = coarse_stack(g, least=least, seed=seed)
-    graphs = [g, *(x for x, _ in stack)]
+    stack, graphs = coarse_stack(g, least=least, seed=seed), [g]
+    for x, blocks in stack:  # the edges of each level are written once, for the next one
+        graphs.append(x.with_edges(cut(merged(graphs[-1], blocks))))
     at = force_layout(graphs[-1], rounds, side, seed)
     for level in range(len(stack) - 1, -1, -1):
         apart = random_layout(graphs[level], side / 100, seed).toDF("id", "dx", "dy")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.functions.ordering import numbered
 from vertexloom.graph import Graph, induced
+from vertexloom.local import pairs as local_pairs
 
 
 def line_graph(g: Graph) -> Graph:
@@ -54,7 +57,7 @@ def condensation(g: Graph, block: str, vweight: str | None = None, eweight: str
         e = e.withColumn("_b", F.least("bs", "bd")).withColumn("bd", F.greatest("bs", "bd")).withColumn("bs", F.col("_b"))
     if not self_loops:
         e = e.where("bs <> bd")
-    edges = e.groupBy(F.col("bs").alias("src"), F.col("bd").alias("dst")).agg(F.sum("_w").alias("count"), *[(F.sum(F.col(p) * F.col("_w")) / F.sum("_w")).alias(p) for p in edge_averages])
+    edges = e.groupBy(F.col("bs").alias("src"), F.col("bd").alias("dst")).agg(F.sum("_w").alias("count"), *[(F.sum(F.col(p) * F.col("_w")) / F.sum("_w")).alias(p) for p in edge_averages], F.min("eid").alias("eid"))
     return Graph.from_edges(edges, vertices, g.directed)
 
 
@@ -276,21 +279,111 @@ def coarse(g: Graph, method: str = "matching", weight: str | None = None, seed:
     return Graph(cut(out.vertices), cut(out.edges), g.directed), blocks
 
 
-def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: str | None = None, seed: int = 0) -> list[tuple[Graph, DataFrame]]:
+#: Rows (vertices, and pairs of neighbours) of the components whose coarse graphs one task makes; larger ones go by rounds.
+COARSE_HELD = 4_000_000
+
+
+def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: str | None = None, seed: int = 0, held: int | None = None) -> list[tuple[Graph, DataFrame]]:
     """Coarser and coarser graphs, until ``least`` vertices are left or a level merges less than a tenth of them, as it
-    does where a matching meets stars."""
+    does where a matching meets stars. Tasks match all levels of weak components of up to ``held`` rows; edges of their coarse
+    graphs are merged from those of the level before, where they are read."""
+    from vertexloom.plans.iterate import cut
+
     out, n = [], g.num_vertices()
+    if n <= least:
+        return out
+    small, large, sizes = None, g, {}
+    if method == "matching":
+        most = 2 + math.ceil(math.log(n / max(least, 1)) / -math.log(0.9))  # levels, each of which merges a tenth
+        rows, large = _coarse_rows(g, weight, seed, most, COARSE_HELD if held is None else held)
+        gone = dict(rows.where(F.size("levels") > 0).groupBy(F.col("levels")[0]).count().collect())
+        small, of_small = g.with_edges(g.edges.join(rows.select(F.col("id").alias("src")), "src", "left_semi")), rows.count()
+        sizes = {k: of_small - sum(c for at, c in gone.items() if at <= k) for k in range(most + 1)}
     while n > least:
-        smaller, blocks = coarse(g, method, weight if not out else "count", seed + len(out))
-        m = smaller.num_vertices()
+        k, parts, m = len(out) + 1, [], 0
+        if large is not None:
+            parts.append(coarse(large, method, weight if not out else "count", seed + len(out)))
+            m += parts[0][0].num_vertices()
+        if small is not None:
+            parts.append(_level(small, rows, k))
+            m += sizes[k]
         if m < n:
-            out.append((smaller, blocks))
+            graphs, blocks = zip(*parts, strict=True)
+            whole = graphs[0] if len(parts) == 1 else Graph(graphs[0].vertices.unionByName(graphs[1].vertices), graphs[0].edges.unionByName(graphs[1].edges), g.directed)
+            out.append((whole, blocks[0] if len(parts) == 1 else blocks[0].unionByName(blocks[1])))
         if m > 0.9 * n:
             break
-        g, n = smaller, m
+        n = m
+        large = parts[0][0] if large is not None else None
+        small = parts[-1][0] if small is not None else None
     return out
 
 
+def _level(g: Graph, rows: DataFrame, k: int) -> tuple[Graph, DataFrame]:
+    """The coarse graph of level ``k``, of which ``g`` is the one before, and (id, block), from the ``rows`` of all levels."""
+
+    def at(level, levels, values, default):
+        many = F.size(F.filter(levels, lambda x: x <= level))
+        return F.when(many == 0, F.col(default)).otherwise(F.get(values, many - 1))
+
+    vertices = rows.where(at(k, "levels", "blocks", "id") == F.col("id")).select("id", at(k, "since", "sizes", "size").alias("count"))
+    blocks = rows.where(at(k - 1, "levels", "blocks", "id") == F.col("id")).select("id", at(k, "levels", "blocks", "id").alias("block"))
+    return Graph(vertices, merged(g, blocks), g.directed), blocks
+
+
+def merged(g: Graph, blocks: DataFrame) -> DataFrame:
+    """Edges of the coarse graph that ``blocks`` (id, block) make of ``g``."""
+    return condensation(Graph(blocks, g.edges, g.directed), "block", None, "count" if "count" in g.edges.columns else None, self_loops=False).edges
+
+
+def _coarse_rows(g: Graph, weight: str | None, seed: int, most: int, held: int) -> tuple[DataFrame, Graph | None]:
+    """id, size, the levels at which its block changes and these blocks, the levels since which it has a size as a block and
+    these sizes, for each vertex of a component of at most ``held`` rows; and the graph of the other components."""
+    from vertexloom.operators.components import weak_components
+    from vertexloom.plans.iterate import cut
+
+    ends = ("src", "dst") if g.directed else (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    w = F.lit(0.0) if weight is None else -F.col(weight).cast("double")
+    of = F.lit(1.0) if "count" not in g.edges.columns else F.col("count").cast("double")
+    own = F.lit(1.0) if "count" not in g.vertices.columns else F.col("count").cast("double")
+    e = g.edges.where("src <> dst").select(*ends, "eid", of.alias("c"), F.coalesce(w, F.lit(-math.inf)).alias("w"), F.xxhash64("eid", F.lit(seed)).alias("h"))
+    plain = [F.lit(0.0).alias("w"), F.min("h").alias("h")] if weight is None else [F.min("w").alias("w"), F.min_by("h", F.struct("w", "h", "eid")).alias("h")]
+    # of the edges of a pair the first one orders it; where two have the same hash, the least eid stands for that one too
+    links = cut(e.groupBy("src", "dst").agg(F.min("eid").alias("eid"), F.sum("c").alias("size"), *plain))
+    label = cut(weak_components(Graph(g.vertices, links, True)))
+    every = g.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("long").alias("eid"), F.coalesce(own, F.lit(0.0)).alias("size"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("h")).unionByName(links)
+    every = cut(every.join(label.toDF("src", "label"), "src"))
+    many = cut(every.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    fits = F.col("n") <= held
+    total, crowd, over = many.agg(F.count_if(fits & (F.col("n") > 1 << 16)), F.sum(F.when(fits & (F.col("n") <= 1 << 16), F.col("n"))), F.count_if(~fits)).first()
+    bins = 1 + (crowd or 0) // (1 << 18)  # many small components share a task
+    key = F.when(F.col("n") > 1 << 16, F.struct(F.lit(True).alias("own"), F.col("label").alias("key"))).otherwise(F.struct(F.lit(False).alias("own"), F.pmod(F.xxhash64("label"), F.lit(bins)).alias("key")))
+    tasks = every.join(many.where(fits), "label").select("src", "dst", "eid", "size", "w", "h", key.alias("task")).select("*", "task.*").drop("task")
+    directed = g.directed
+
+    def run(table):
+        col = {c: table.column(c).to_numpy() for c in ("src", "size", "w", "h")}
+        lone = table.column("dst").is_null().to_numpy()
+        order = np.argsort(col["src"][lone])
+        ids, size = col["src"][lone][order], col["size"][lone][order]
+        eid, dst = (table.column(c).filter(pa.array(~lone)).to_numpy() for c in ("eid", "dst"))
+        links = {c: v[~lone] for c, v in col.items()}
+        moved, grown = local_pairs.coarsened(ids, size, links["src"], dst, eid, links["size"], (links["w"], links["h"], eid), seed, directed, most)
+
+        def listed(of, values, kind):
+            offsets = np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
+
+        return pa.table({"id": ids, "size": size, "levels": listed(moved[0], moved[1], np.int32), "blocks": listed(moved[0], moved[2], np.int64), "since": listed(grown[0], grown[1], np.int32), "sizes": listed(grown[0], grown[2], np.float64)})
+
+    spread = min(480, 8 * ((total or 0) + bins))
+    rows = cut(tasks.repartition(spread, "own", "key").groupBy("own", "key").applyInArrow(run, "id long, size double, levels array<int>, blocks array<long>, since array<int>, sizes array<double>"))
+    if not over:
+        return rows, None
+    rest = g.vertices.join(label.join(many.where(~fits), "label").select("id"), "id", "left_semi")
+    return rows, Graph(rest, g.edges.join(rest.select(F.col("id").alias("src")), "src", "left_semi"), g.directed)
+
+
 def sample(weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """draw and id of ``n`` draws from (id, weight): a cumulative sum, in blocks, and a range join on its bucketed steps."""
     from vertexloom.plans.iterate import cut
