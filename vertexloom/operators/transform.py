@@ -220,27 +220,30 @@ def random_rewire(g: Graph, model: str = "uncorrelated", rounds: int = 1, parall
         e = edges.withColumn("h", F.xxhash64("eid", F.lit(seed), F.lit(r)))
         e = e.join(kinds.withColumnRenamed("id", "dst"), "dst") if model == "correlated" else e.withColumn("k", F.lit(0))
         order = numbered(e.select("eid", "src", "dst", "k", "h"), ["k", "h", "eid"], "n").withColumn("p", F.floor(F.col("n") / 2))
-        two = order.groupBy("p").agg(F.min_by(F.struct("eid", "src", "dst", "k"), "n").alias("x"), F.max_by(F.struct("eid", "src", "dst", "k"), "n").alias("y"), F.count(F.lit(1)).alias("c")).where("c = 2 and x.k = y.k")
-        two = cut(two)
-        new = two.select("p", F.explode(F.array(F.struct(F.col("x.eid").alias("eid"), F.col("x.src").alias("src"), F.col("y.dst").alias("dst")), F.struct(F.col("y.eid").alias("eid"), F.col("y.src").alias("src"), F.col("x.dst").alias("dst")))).alias("e")).select("p", "e.*")
-        new = cut(new)
+        first = F.col("n") % 2 == 0
+        ends = [F.max(F.when(first if side == "x" else ~first, F.col(c))).alias(f"{side}_{c}") for side in "xy" for c in ("eid", "src", "dst")]  # plain numbers, which hash aggregation keeps
+        meet = F.count(F.lit(1)) == 2 if model != "correlated" else (F.count(F.lit(1)) == 2) & (F.min_by("k", "n") == F.max_by("k", "n"))
+        two = cut(order.groupBy("p").agg(*ends, meet.alias("meet")))
+
+        old, swapped = (F.array(*[F.struct(F.col(f"{s}_eid").alias("eid"), F.col(f"{s}_src").alias("src"), F.col(f"{t}_dst").alias("dst")) for s, t in sides]) for sides in (("xx", "yy"), ("xy", "yx")))
+        new = two.where("meet").select("p", F.explode(swapped).alias("e")).select("p", "e.*")
         bad = new.limit(0).select("p")
         if not self_loops:
             bad = bad.union(new.where("src = dst").select("p"))
         if not parallel_edges:
             key = ["src", "dst"] if g.directed else [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
-            ends = new.select("p", *key)
-            bad = bad.union(ends.join(edges.select(*key).distinct(), ["src", "dst"]).select("p"))
-            twice = ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.collect_set("p").alias("ps")).where("c > 1")
-            bad = bad.union(twice.select(F.explode("ps")))
+            made = new.select("p", *key)
+            every = made.select("src", "dst", F.lit(1).alias("new")).union(edges.select(*key, F.lit(0)))
+            taken = every.groupBy("src", "dst").agg(F.sum("new").alias("c"), F.count(F.lit(1)).alias("all")).where("c > 1 or (c = 1 and all > 1)")
+            bad = bad.union(made.join(taken, ["src", "dst"], "left_semi").select("p"))
         if weighed:
-            rows = two.select("p", F.explode(F.array("x", "y")).alias("e")).select("p", "e.src", "e.dst", F.lit(-1.0).alias("sign")).unionByName(new.select("p", "src", "dst", F.lit(1.0).alias("sign")))
-            at = rows.join(kinds.toDF("src", "r"), "src").join(kinds.toDF("dst", "s"), "dst").join(probability.select("r", "s", F.col("p").alias("q")), ["r", "s"], "left")
+            moves = two.where("meet").select("p", F.explode(old).alias("e")).select("p", "e.src", "e.dst", F.lit(-1.0).alias("sign")).unionByName(new.select("p", "src", "dst", F.lit(1.0).alias("sign")))
+            at = moves.join(kinds.toDF("src", "r"), "src").join(kinds.toDF("dst", "s"), "dst").join(probability.select("r", "s", F.col("p").alias("q")), ["r", "s"], "left")
             gain = at.groupBy("p").agg(F.sum(F.col("sign") * F.log(F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(1e-12)))).alias("gain"))
             u = (F.pmod(F.xxhash64("p", F.lit(seed), F.lit(-1 - r)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
             bad = bad.union(gain.where(F.log(u) >= F.col("gain")).select("p"))
-        done = new.join(bad.distinct(), "p", "left_anti").select("eid", "src", "dst")
-        edges = cut(edges.join(done.select("eid"), "eid", "left_anti").unionByName(done))
+        stays = two.join(bad.distinct().withColumn("bad", F.lit(True)), "p", "left")
+        edges = cut(stays.select(F.explode(F.when(F.col("meet") & F.col("bad").isNull(), swapped).otherwise(old)).alias("e")).select("e.*").where("eid is not null"))
     return g.with_edges(edges)
 
 
