@@ -617,3 +617,13 @@ def test_coarse_stacks_by_tasks_are_those_by_rounds(spark, monkeypatch):
             m.setattr(found, "greedy_matching", None)
             tasks = told(None)
         assert len(tasks) > 2 and tasks == told(150)  # one component by rounds, the other by tasks
+
+
+def test_matchings_by_tasks_are_those_by_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(40), rnd.randrange(40), float(rnd.randrange(5))) for _ in range(120)] + [(50, 51, 1.0), (51, 50, 3.0), (51, 52, 2.0)]
+    g = make(spark, edges, 60)
+    rounds = sorted(r["eid"] for r in components.greedy_matching(g, "weight", held=0).collect())
+    assert sorted(r["eid"] for r in components.greedy_matching(g, "weight", held=20).collect()) == rounds
+    monkeypatch.setattr(components, "_matched_by_rounds", None)
+    assert sorted(r["eid"] for r in components.greedy_matching(g, "weight").collect()) == rounds

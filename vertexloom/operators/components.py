@@ -310,10 +310,50 @@ def colouring(g: Graph, seed: int = 0, held: int | None = None) -> DataFrame:
     return done
 
 
-def greedy_matching(g: Graph, weight: str | None = None, minimize: bool = False, seed: int = 0) -> DataFrame:
-    """eid of a maximal matching: rounds in which edges that are first at both ends (by weight, then hash) are taken."""
+#: Rows (pairs of neighbours, and vertices where they are sent) of a component that one task matches.
+MATCH_HELD = 4_000_000
+
+
+def dealt_by_component(rows: DataFrame, held: int) -> tuple[DataFrame, int, DataFrame, bool]:
+    """``rows`` (with label) of components of at most ``held`` rows with the keys own and key of the task of each, in which small ones
+    share tasks; the number of partitions for them; the labels of larger components, and whether there are any."""
+    many = cut(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    fits, small = F.col("n") <= held, F.col("n") <= 1 << 16
+    alone, crowd, over = many.agg(F.count_if(fits & ~small), F.sum(F.when(fits & small, F.col("n"))), F.count_if(~fits)).first()
+    bins = 1 + (crowd or 0) // (1 << 18)
+    key = F.when(small, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.col("label"))
+    tasks = rows.join(many.where(fits).select("label", (~small).alias("own"), key.alias("key")), "label")
+    return tasks, min(480, 8 * (alone + bins)), many.where(~fits).select("label"), over > 0
+
+
+def greedy_matching(g: Graph, weight: str | None = None, minimize: bool = False, seed: int = 0, held: int | None = None) -> DataFrame:
+    """eid of a maximal matching: rounds in which edges that are first at both ends (by weight, then hash) are taken. That takes
+    edges in this order where both ends are free, which a task does for weak components of up to ``held`` pairs; larger ones go
+    by rounds over DataFrames."""
     w = F.lit(0.0) if weight is None else F.col(weight).cast("double") * (1 if minimize else -1)
     left = cut(g.edges.where("src <> dst").select("src", "dst", F.struct(w.alias("w"), F.xxhash64("eid", F.lit(seed)).alias("h"), "eid").alias("p")))
+    held = MATCH_HELD if held is None else held
+    if held <= 0:
+        return _matched_by_rounds(g, left)
+    first = cut(left.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("p").alias("p")))
+    label = cut(weak_components(Graph(g.vertices, first, False)))
+    tasks, spread, large, over = dealt_by_component(first.join(label.toDF("src", "label"), "src"), held)
+
+    def run(table):
+        src, dst, w, h, eid = (table.column(c).to_numpy() for c in ("src", "dst", "w", "h", "eid"))
+        order = np.lexsort((eid, h, w))
+        ids, at = np.unique(np.concatenate([src[order], dst[order]]), return_inverse=True)
+        return pa.table({"eid": eid[order][pairs.matched(at[: len(src)], at[len(src) :], len(ids))]})
+
+    rows = tasks.select("own", "key", "src", "dst", F.coalesce("p.w", F.lit(float("-inf"))).alias("w"), "p.h", "p.eid")
+    done = cut(rows.repartition(spread, "own", "key").groupBy("own", "key").applyInArrow(run, "eid long"))
+    if not over:
+        return done
+    rest = label.join(large, "label", "left_semi").select(F.col("id").alias("src"))
+    return done.union(_matched_by_rounds(g, cut(left.join(rest, "src", "left_semi").select("src", "dst", "p"))))
+
+
+def _matched_by_rounds(g: Graph, left: DataFrame) -> DataFrame:
     done = None
     while not left.isEmpty():
         first = left.select(F.explode(F.array("src", "dst")).alias("id"), "p").groupBy("id").agg(F.min("p").alias("f"))

@@ -269,7 +269,7 @@ def coarse(g: Graph, method: str = "matching", weight: str | None = None, seed:
     from vertexloom.plans.iterate import cut
 
     if method == "matching":
-        pairs = g.edges.join(greedy_matching(g, weight, seed=seed), "eid", "left_semi").select(F.explode(F.array("src", "dst")).alias("id"), F.least("src", "dst").alias("b"))
+        pairs = g.edges.join(greedy_matching(g, weight, seed=seed, held=0), "eid", "left_semi").select(F.explode(F.array("src", "dst")).alias("id"), F.least("src", "dst").alias("b"))
     elif method == "independent":
         centres = cut(independent_set(g, seed))
         pairs = g.as_undirected().adjacency.where("src <> dst").join(centres.toDF("dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("b"))
