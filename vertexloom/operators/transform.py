@@ -282,15 +282,11 @@ def coarse(g: Graph, method: str = "matching", weight: str | None = None, seed:
     return Graph(cut(out.vertices), cut(out.edges), g.directed), blocks
 
 
-#: Rows (vertices, and pairs of neighbours) of the components whose coarse graphs one task makes; larger ones go by rounds.
-COARSE_HELD = 4_000_000
-
-
 def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: str | None = None, seed: int = 0, held: int | None = None) -> list[tuple[Graph, DataFrame]]:
     """Coarser and coarser graphs, until ``least`` vertices are left or a level merges less than a tenth of them, as it
     does where a matching meets stars. Tasks match all levels of weak components of up to ``held`` rows; edges of their coarse
     graphs are merged from those of the level before, where they are read."""
-    from vertexloom.plans.iterate import cut
+    from vertexloom.operators.components import MATCH_HELD
 
     out, n = [], g.num_vertices()
     if n <= least:
@@ -298,7 +294,7 @@ def coarse_stack(g: Graph, method: str = "matching", least: int = 64, weight: st
     small, large, sizes = None, g, {}
     if method == "matching":
         most = 2 + math.ceil(math.log(n / max(least, 1)) / -math.log(0.9))  # levels, each of which merges a tenth
-        rows, large = _coarse_rows(g, weight, seed, most, COARSE_HELD if held is None else held)
+        rows, large = _coarse_rows(g, weight, seed, most, MATCH_HELD if held is None else held)
         gone = dict(rows.where(F.size("levels") > 0).groupBy(F.col("levels")[0]).count().collect())
         small, of_small = g.with_edges(g.edges.join(rows.select(F.col("id").alias("src")), "src", "left_semi")), rows.count()
         sizes = {k: of_small - sum(c for at, c in gone.items() if at <= k) for k in range(most + 1)}
@@ -342,7 +338,7 @@ def merged(g: Graph, blocks: DataFrame) -> DataFrame:
 def _coarse_rows(g: Graph, weight: str | None, seed: int, most: int, held: int) -> tuple[DataFrame, Graph | None]:
     """id, size, the levels at which its block changes and these blocks, the levels since which it has a size as a block and
     these sizes, for each vertex of a component of at most ``held`` rows; and the graph of the other components."""
-    from vertexloom.operators.components import weak_components
+    from vertexloom.operators.components import dealt_by_component, weak_components
     from vertexloom.plans.iterate import cut
 
     ends = ("src", "dst") if g.directed else (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
@@ -355,13 +351,8 @@ def _coarse_rows(g: Graph, weight: str | None, seed: int, most: int, held: int)
     links = cut(e.groupBy("src", "dst").agg(F.min("eid").alias("eid"), F.sum("c").alias("size"), *plain))
     label = cut(weak_components(Graph(g.vertices, links, True)))
     every = g.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("long").alias("eid"), F.coalesce(own, F.lit(0.0)).alias("size"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("h")).unionByName(links)
-    every = cut(every.join(label.toDF("src", "label"), "src"))
-    many = cut(every.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-    fits = F.col("n") <= held
-    total, crowd, over = many.agg(F.count_if(fits & (F.col("n") > 1 << 16)), F.sum(F.when(fits & (F.col("n") <= 1 << 16), F.col("n"))), F.count_if(~fits)).first()
-    bins = 1 + (crowd or 0) // (1 << 18)  # many small components share a task
-    key = F.when(F.col("n") > 1 << 16, F.struct(F.lit(True).alias("own"), F.col("label").alias("key"))).otherwise(F.struct(F.lit(False).alias("own"), F.pmod(F.xxhash64("label"), F.lit(bins)).alias("key")))
-    tasks = every.join(many.where(fits), "label").select("src", "dst", "eid", "size", "w", "h", key.alias("task")).select("*", "task.*").drop("task")
+    tasks, spread, large, over = dealt_by_component(cut(every.join(label.toDF("src", "label"), "src")), held)
+    tasks = tasks.select("src", "dst", "eid", "size", "w", "h", "own", "key")
     directed = g.directed
 
     def run(table):
@@ -379,11 +370,10 @@ def _coarse_rows(g: Graph, weight: str | None, seed: int, most: int, held: int)
 
         return pa.table({"id": ids, "size": size, "levels": listed(moved[0], moved[1], np.int32), "blocks": listed(moved[0], moved[2], np.int64), "since": listed(grown[0], grown[1], np.int32), "sizes": listed(grown[0], grown[2], np.float64)})
 
-    spread = min(480, 8 * ((total or 0) + bins))
     rows = cut(tasks.repartition(spread, "own", "key").groupBy("own", "key").applyInArrow(run, "id long, size double, levels array<int>, blocks array<long>, since array<int>, sizes array<double>"))
     if not over:
         return rows, None
-    rest = g.vertices.join(label.join(many.where(~fits), "label").select("id"), "id", "left_semi")
+    rest = g.vertices.join(label.join(large, "label", "left_semi").select("id"), "id", "left_semi")
     return rows, Graph(rest, g.edges.join(rest.select(F.col("id").alias("src")), "src", "left_semi"), g.directed)
 
 
